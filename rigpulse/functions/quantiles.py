@@ -17,50 +17,34 @@ _MARGINS = [3 / SKETCH_ACCURACY * 2**j for j in range(13)]
 _BELOW = float("-inf")
 
 
-def quantile_array(df: DataFrame, keys: Sequence[str], columns: Sequence[Column], probs: Sequence[float],
+def quantile_array(df: DataFrame, keys: Sequence[str], values: Column, width: int, probs: Sequence[float],
                    name: str = "q") -> DataFrame:
-    """``keys`` and an array of the quantiles (linear interpolation, nulls ignored).
+    """``keys`` and an array of quantiles (linear interpolation, nulls ignored) of an array of ``width`` values.
 
-    Entry ``i * len(probs) + p`` belongs to column ``i`` and probability ``p``; null without values.
+    Entry ``i * len(probs) + p`` belongs to value ``i`` and probability ``p``; null without values.
     """
-    width, per = len(columns), len(probs)
-    slots = width * per
-    source = df.select(*keys, *[c.cast("double").alias(f"_c{i}") for i, c in enumerate(columns)])
-    marks = [max(0.0, p - m) for p in probs for m in _MARGINS] + [min(1.0, p + m) for p in probs for m in _MARGINS]
-    sketch = source.groupBy(*keys).agg(
-        *[F.percentile_approx(f"_c{i}", marks, SKETCH_ACCURACY).alias(f"_s{i}") for i in range(width)],
-        *[F.count(f"_c{i}").alias(f"_n{i}") for i in range(width)],
-    )
-    step, high = len(_MARGINS), per * len(_MARGINS)
-    lows, highs = [], []
-    for i in range(width):
-        n = F.greatest(F.col(f"_n{i}"), F.lit(1))
-        margin = F.ceil(F.log2(F.lit(3.0) / (F.lit(_MARGINS[0]) * n)))
-        margin = F.greatest(F.lit(0), F.least(F.lit(step - 1), margin)).cast("int")
-        for p in range(per):
-            lows.append(F.get(f"_s{i}", margin + p * step))
-            highs.append(F.get(f"_s{i}", margin + p * step + high))
-    brackets = sketch.select(
-        *keys, F.array(*lows).alias("_lo"), F.array(*highs).alias("_hi"),
-        F.array(*[F.col(f"_n{i}") for i in range(width)]).alias("_n"),
-    )
-    found = []
-    for i in range(width):
-        for p in range(per):
-            value, slot = F.col(f"_c{i}"), i * per + p
-            kept = F.when(value < F.get("_lo", F.lit(slot)), F.lit(_BELOW)).otherwise(value)
-            found.append(F.when(value <= F.get("_hi", F.lit(slot)), F.struct(
-                F.lit(slot).alias("slot"), kept.alias("v"), F.get("_n", F.lit(i)).alias("n"))))
+    per = len(probs)
+    source = df.select(*keys, values.cast("array<double>").alias("_x"))
+    brackets = _brackets(source, keys, width, probs)
+    placed = _attach(source, brackets, keys)
+
+    def inside(v: Column, i: Column, p: int) -> Column:
+        slot = i * per + p
+        kept = F.when(v < F.get("_lo", slot), F.lit(_BELOW)).otherwise(v)
+        return F.when(v <= F.get("_hi", slot), F.struct(slot.alias("slot"), kept.alias("v"), F.get("_n", i).alias("n")))
+
+    def hits_of(p: int) -> Column:
+        return F.transform("_x", lambda v, i: inside(v, i, p))
+
+    hits = [hits_of(p) for p in range(per)]
     counted = (
-        _attach(source, brackets, keys)
-        .select(*keys, F.inline(F.array_compact(F.array(*found))))
+        placed.select(*keys, F.inline(F.array_compact(F.concat(*hits) if per > 1 else hits[0])))
         .groupBy(*keys, "slot", "n", "v").agg(F.count(F.lit(1)).alias("m"))
     )
     ranked = counted.withColumn("up_to", F.sum("m").over(Window.partitionBy(*keys, "slot", "n").orderBy("v")))
     prob = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("slot") % per)
-    place = prob * (F.col("n") - 1)
     picks = (
-        ranked.withColumn("place", place)
+        ranked.withColumn("place", prob * (F.col("n") - 1))
         .groupBy(*keys, "slot", "n", "place")
         .agg(
             F.min(F.when(F.col("up_to") > F.floor("place"), F.col("v"))).alias("a"),
@@ -71,17 +55,50 @@ def quantile_array(df: DataFrame, keys: Sequence[str], columns: Sequence[Column]
     value = F.when(missed, F.raise_error(F.lit("quantile rank lies outside its bracket"))).otherwise(
         F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.floor("place"))
     )
-    gathered = picks.select(*keys, "slot", value.alias("v")).groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("_by_slot")
-    )
-    dense = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda s: F.try_element_at("_by_slot", s))
-    return gathered.select(*keys, dense.alias(name))
+    return _by_slot(picks.select(*keys, "slot", value.alias("v")), keys, width * per, {name: "v"})
+
+
+def _brackets(source: DataFrame, keys: Sequence[str], width: int, probs: Sequence[float]) -> DataFrame:
+    """Per group the count of each value and, for each probability, values around the wanted rank.
+
+    The margin around the rank is the sketch error, or three ranks in small groups.
+    """
+    step, per = len(_MARGINS), len(probs)
+    marks = [max(0.0, p - m) for p in probs for m in _MARGINS] + [min(1.0, p + m) for p in probs for m in _MARGINS]
+    long = source.select(*keys, F.posexplode("_x").alias("slot", "v")).where(F.col("v").isNotNull())
+    sketch = long.groupBy(*keys, "slot").agg(
+        F.percentile_approx("v", marks, SKETCH_ACCURACY).alias("s"), F.count(F.lit(1)).alias("n"))
+    margin = F.ceil(F.log2(F.lit(3.0) / (F.lit(_MARGINS[0]) * F.col("n"))))
+    margin = F.greatest(F.lit(0), F.least(F.lit(step - 1), margin)).cast("int")
+    edges = sketch.withColumn("margin", margin)
+    lows = F.array(*[F.get("s", F.col("margin") + p * step) for p in range(per)])
+    highs = F.array(*[F.get("s", F.col("margin") + (per + p) * step) for p in range(per)])
+    dense = _by_slot(edges.select(*keys, "slot", "n", lows.alias("lo"), highs.alias("hi")), keys, width,
+                     {"_n": "n", "_lo": "lo", "_hi": "hi"})
+    if per == 1:
+        flat = {c: F.transform(c, lambda a: F.get(a, F.lit(0))) for c in ("_lo", "_hi")}
+    else:
+        blank = F.array_repeat(F.lit(None).cast("double"), per)
+        flat = {c: F.flatten(F.transform(c, lambda a: F.coalesce(a, blank))) for c in ("_lo", "_hi")}
+    return dense.withColumns(flat)
+
+
+def _by_slot(long: DataFrame, keys: Sequence[str], slots: int, names: dict[str, str]) -> DataFrame:
+    """One row per group with dense arrays indexed by slot."""
+    maps = [F.map_from_entries(F.collect_list(F.struct("slot", c))).alias(name) for name, c in names.items()]
+
+    def dense_of(name: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda s: F.try_element_at(name, s)).alias(name)
+
+    dense = [dense_of(name) for name in names]
+    return long.groupBy(*keys).agg(*maps).select(*keys, *dense)
 
 
 def _attach(source: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFrame:
     if keys:
         return source.join(brackets, list(keys))
-    return source.select("*", *[brackets.select(c).scalar().alias(c) for c in ("_lo", "_hi", "_n")])
+    packed = brackets.select(F.struct("_lo", "_hi", "_n").alias("b")).scalar()
+    return source.select("*", packed.alias("_b")).select("_x", "_b.*")
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], names: dict[str, tuple[Column, float]]) -> DataFrame:
@@ -91,14 +108,14 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], names: dict[str, tuple[C
         per_prob.setdefault(prob, []).append(name)
     if len(per_prob) == 1:
         prob = next(iter(per_prob))
-        arrays = quantile_array(df, keys, [c for c, _ in names.values()], [prob], "_q")
+        arrays = quantile_array(df, keys, F.array(*[c.cast("double") for c, _ in names.values()]), len(names), [prob], "_q")
         return arrays.select(*keys, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)])
     columns: list[Column] = []
     for column, _ in names.values():
         if not any(column is c for c in columns):
             columns.append(column)
     probs = sorted(per_prob)
-    arrays = quantile_array(df, keys, columns, probs, "_q")
+    arrays = quantile_array(df, keys, F.array(*[c.cast("double") for c in columns]), len(columns), probs, "_q")
     picked = []
     for name, (column, prob) in names.items():
         i = next(j for j, c in enumerate(columns) if c is column)

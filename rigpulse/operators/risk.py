@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rigpulse.config import RiskConfig
@@ -74,8 +74,10 @@ def top_factors(contributions: DataFrame, keys: Sequence[str], n: int = 6) -> Da
 
 def domain_hints(factors: DataFrame, column: str = "factors") -> DataFrame:
     """Sentences for the kinds of feature among the factors."""
-    hints = [F.when(F.exists(column, lambda f, part=part: f.contains(part)), text)
-             for part, text in DOMAIN_HINTS.items()]
+    def hint(part: str, text: str) -> Column:
+        return F.when(F.exists(column, lambda f: f.contains(part)), text)
+
+    hints = [hint(part, text) for part, text in DOMAIN_HINTS.items()]
     return factors.withColumn("hints", F.concat_ws("; ", *hints))
 
 

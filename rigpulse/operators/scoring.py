@@ -19,29 +19,29 @@ def robust_stat_score(df: DataFrame, keys: Sequence[str], columns: Sequence[str]
     reference, and other rows get null. All populations share the two quantile passes.
     """
     wanted = populations or {"anomaly_score_stat": F.lit(True)}
-    k = max(3, int(0.1 * len(columns)))
+    width = len(columns)
+    k = max(3, int(0.1 * width))
     members = {name: f"_in_{i}" for i, name in enumerate(wanted)}
     rows = df.select("*", *[sure(c).alias(members[n]) for n, c in wanted.items()],
                      F.array(*[or_zero(c) for c in columns]).alias("_x"))
-    width = len(columns)
+    absent = F.array_repeat(F.lit(None).cast("double"), width)
 
-    def value(i: int) -> Column:
-        return F.get("_x", F.lit(i))
+    def among(values: dict[str, Column]) -> Column:
+        parts = [F.when(F.col(m), values[n]).otherwise(absent) for n, m in members.items()]
+        return F.concat(*parts) if len(parts) > 1 else parts[0]
 
-    medians = quantile_array(rows, keys, [F.when(F.col(m), value(i)) for m in members.values() for i in range(width)],
-                             [0.5], "_med")
-    centred = rows.join(medians, list(keys))
+    def own(stats: str, p: int) -> Column:
+        return F.slice(stats, p * width + 1, width)
 
-    def distance(p: int, i: int) -> Column:
-        return F.abs(value(i) - F.get("_med", F.lit(p * width + i)))
-
-    mads = quantile_array(
-        centred, keys, [F.when(F.col(m), distance(p, i)) for p, m in enumerate(members.values()) for i in range(width)],
-        [0.5], "_mad")
+    total = width * len(members)
+    medians = quantile_array(rows, keys, among({n: F.col("_x") for n in members}), total, [0.5], "_med")
+    centred = rows.join(medians, list(keys))
+    away = {n: F.zip_with("_x", own("_med", p), lambda x, m: F.abs(x - m)) for p, n in enumerate(members)}
+    mads = quantile_array(centred, keys, among(away), total, [0.5], "_mad")
     both = centred.join(mads, list(keys))
     scores = []
     for p, (name, member) in enumerate(members.items()):
-        ratios = F.array(*[distance(p, i) / (F.get("_mad", F.lit(p * width + i)) + floor) for i in range(width)])
+        ratios = F.zip_with(away[name], own("_mad", p), lambda a, m: a / (m + F.lit(floor)))
         scores.append(F.when(F.col(member), top_mean(ratios, k)).alias(name))
     return both.select(*df.columns, *scores)
 

@@ -79,7 +79,8 @@ def describe(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.
     fields = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     one = df.agg(*[fn(F.col(c).cast("double") if f != "count" else F.col(c)).alias(f"{c}__{f}")
                    for c in columns for f, fn in fields.items()])
-    quantiles = quantile_array(df, [], [F.col(c) for c in columns], probs, "_q")
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    quantiles = quantile_array(df, [], values, len(columns), probs, "_q")
     one = with_constants(one, quantiles)
     names = {f: f for f in fields}
     marks = []

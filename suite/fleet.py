@@ -26,7 +26,7 @@ def dense_sql(source: str, aggregates: str, seconds: int, name: str, where: str
   FROM {source} WHERE {where} GROUP BY ALL),
 {name}_s AS (
   SELECT asset_id, mdm_object_name, unnest(generate_series(min(ts), max(ts), INTERVAL {seconds} SECOND)) AS ts
-  FROM {name}_b GROUP BY ALL),
+  FROM {name}_b GROUP BY asset_id, mdm_object_name),
 {name} AS (
   SELECT * FROM {name}_s LEFT JOIN {name}_b USING (asset_id, mdm_object_name, ts))"""
 
@@ -79,11 +79,11 @@ def merge_window_features(spark, d):
 
 _WINDOWS = f"""{TELE}, {FAIL}, {RAIL}, {_BASE}, {_FUEL15},
 merged AS (SELECT base.*, fuel_rate_mean, fuel_rate_std FROM base LEFT JOIN fuel USING (asset_id, mdm_object_name, ts)),
-asof AS (
+next_fail AS (
   SELECT m.*, f.event_dt, (epoch_us(f.event_dt) - epoch_us(m.ts)) / CAST(86400000000 AS DOUBLE) AS days_to_event
   FROM merged m ASOF LEFT JOIN fail f ON m.asset_id = f.asset_id AND m.ts <= f.event_dt),
 labelled AS (
-  SELECT * EXCLUDE (ts), ts AS "timestamp", CASE WHEN days_to_event BETWEEN 7 AND 30 THEN 1 ELSE 0 END AS target FROM asof
+  SELECT * EXCLUDE (ts), ts AS "timestamp", CASE WHEN days_to_event BETWEEN 7 AND 30 THEN 1 ELSE 0 END AS target FROM next_fail
   WHERE NOT coalesce(days_to_event >= 0 AND days_to_event < 7, false))"""
 
 
@@ -96,7 +96,7 @@ def _labelled(spark, d):
     return labels.label_windows(joins.next_event_asof(_features(spark, d), failures(trucks(spark, d))))
 
 
-@query(f'WITH {_WINDOWS} SELECT asset_id, mdm_object_name, ts AS "timestamp", event_dt FROM asof')
+@query(f'WITH {_WINDOWS} SELECT asset_id, mdm_object_name, ts AS "timestamp", event_dt FROM next_fail')
 def next_event_asof(spark, d):
     return joins.next_event_asof(_features(spark, d).select("asset_id", "mdm_object_name", "timestamp"), failures(trucks(spark, d)))
 
@@ -190,10 +190,12 @@ def time_rolling(spark, d):
     return rolling_in_time(trucks(spark, d), ["asset_id"], "timestamp", _SIGNAL, 86400).select("event_id", *made)
 
 
-@query(f"""WITH {TELE} SELECT asset_id, mdm_object_name, {sql_bin('"timestamp"', 604800)} AS "timestamp",
-  regr_slope(fuel_rate, engine_load) AS fuel_per_load,
-  regr_slope(fuel_rate, (epoch_us("timestamp") % 604800000000) / CAST(3600000000 AS DOUBLE)) AS fuel_per_hour
-FROM tele WHERE {_STEADY} GROUP BY ALL""", "fuel_per_load fuel_per_hour")
+@query(f"""WITH {TELE}, slopes AS (SELECT asset_id, mdm_object_name, {sql_bin('"timestamp"', 604800)} AS b,
+  regr_slope(fuel_rate, engine_load) AS per_load,
+  regr_slope(fuel_rate, (epoch_us("timestamp") % 604800000000) / CAST(3600000000 AS DOUBLE)) AS per_hour
+FROM tele WHERE {_STEADY} GROUP BY ALL)
+SELECT asset_id, mdm_object_name, b AS "timestamp", CASE WHEN NOT isnan(per_load) THEN per_load END AS fuel_per_load,
+  CASE WHEN NOT isnan(per_hour) THEN per_hour END AS fuel_per_hour FROM slopes""", "fuel_per_load fuel_per_hour")
 def fuel_drift(spark, d):
     return resample.fuel_drift(trucks(spark, d), 604800)
 
