@@ -82,9 +82,3 @@ def work_regime(boom: str | Column, arm: str | Column) -> Column:
     b, a = F.abs(col(boom)), F.abs(col(arm))
     return (F.when((b < 1e-6) & (a < 1e-6), "no_tool_activity")
             .when(b + a > 0, "tool_activity").otherwise("unknown"))
-
-
-def top_mean(values: Column, k: int) -> Column:
-    """Mean of the ``k`` largest entries of an array."""
-    top = F.slice(F.sort_array(values, asc=False), 1, k)
-    return F.aggregate(top, F.lit(0.0), lambda total, v: total + v) / F.size(top)

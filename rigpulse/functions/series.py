@@ -25,7 +25,7 @@ class Series:
     ts: str = "timestamp"
     ties: tuple[str, ...] = ()
     chunk_seconds: int = 6 * 3600
-    block_rows: int = 65536
+    block_rows: int = 16384
 
     @property
     def order(self) -> list[Column]:

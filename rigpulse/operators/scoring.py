@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rigpulse.functions.columns import or_zero, sure, top_mean
-from rigpulse.functions.quantiles import group_quantiles, quantile_array
+from rigpulse.functions.columns import or_zero, sure
+from rigpulse.functions.quantiles import group_quantiles
+from rigpulse.functions.wide_quantiles import wide_quantile
+from rigpulse.session import materialize
 
 
 def robust_stat_score(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
@@ -34,21 +39,37 @@ def robust_stat_score(df: DataFrame, keys: Sequence[str], columns: Sequence[str]
         return F.slice(stats, p * width + 1, width)
 
     total = width * len(members)
-    medians = quantile_array(rows, keys, among({n: F.col("_x") for n in members}), total, [0.5], "_med")
+    medians = wide_quantile(rows, keys, among({n: F.col("_x") for n in members}), total, 0.5, "_med")
     centred = rows.join(medians, list(keys))
     away = {n: F.zip_with("_x", own("_med", p), lambda x, m: F.abs(x - m)) for p, n in enumerate(members)}
-    mads = quantile_array(centred, keys, among(away), total, [0.5], "_mad")
-    both = centred.join(mads, list(keys))
-    scores = []
-    for p, (name, member) in enumerate(members.items()):
-        ratios = F.zip_with(away[name], own("_mad", p), lambda a, m: a / (m + F.lit(floor)))
-        scores.append(F.when(F.col(member), top_mean(ratios, k)).alias(name))
-    return both.select(*df.columns, *scores)
+    mads = wide_quantile(centred, keys, among(away), total, 0.5, "_mad")
+    packed = centred.join(mads, list(keys)).select(
+        F.struct(*df.columns).alias("_row"), *members.values(), "_x", "_med", "_mad")
+    row = packed.schema["_row"]
+    schema = T.StructType([row, *[T.StructField(n, T.DoubleType()) for n in members]])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch["_x"], width)
+            med, mad = (_matrix(batch[c], total) for c in ("_med", "_mad"))
+            made = [batch["_row"]]
+            for p, member in enumerate(members.values()):
+                part = slice(p * width, (p + 1) * width)
+                ratios = np.abs(x - med[:, part]) / (mad[:, part] + floor)
+                top = np.partition(ratios, width - k, axis=1)[:, width - k:] if k < width else ratios
+                made.append(pa.array(top.mean(axis=1), mask=~batch[member].to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays(made, names=["_row", *members])
+
+    return packed.mapInArrow(score, schema).select("_row.*", *members)
+
+
+def _matrix(lists: pa.ListArray, width: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
 def reference_stats(df: DataFrame, keys: Sequence[str], columns: Sequence[str], floor: float = 1e-9) -> DataFrame:
     """``<column>_ref_median`` and ``<column>_ref_mad`` per group."""
-    medians = group_quantiles(df, keys, {f"{c}_ref_median": (F.col(c), 0.5) for c in columns})
+    medians = materialize(group_quantiles(df, keys, {f"{c}_ref_median": (F.col(c), 0.5) for c in columns}))
     apart = df.select(*keys, *columns).join(medians, list(keys))
     mads = group_quantiles(apart, keys, {
         f"{c}_ref_mad": (F.abs(F.col(c) - F.col(f"{c}_ref_median")), 0.5) for c in columns})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rigpulse.functions.columns import sure
 from rigpulse.functions.quantiles import group_quantiles, quantile_array
+from rigpulse.session import materialize
 
 MAD_TO_SIGMA = 1.4826
 FLOOR = 1e-9
@@ -99,9 +100,10 @@ def mad_stats(df: DataFrame, keys: Sequence[str], columns: Sequence[str], scaled
               floor: float = FLOOR) -> DataFrame:
     """``<column>_median`` and ``<column>_mad`` per group.
 
-    Plain: MAD plus ``floor``. Scaled: 1.4826 * MAD, at least ``floor``.
+    Plain: MAD plus ``floor``. Scaled: 1.4826 * MAD, at least ``floor``. The medians, needed twice
+    by the second pass, are written out.
     """
-    medians = group_quantiles(df, keys, {f"{c}_median": (F.col(c), 0.5) for c in columns})
+    medians = materialize(group_quantiles(df, keys, {f"{c}_median": (F.col(c), 0.5) for c in columns}))
     apart = attach_group(df.select(*keys, *columns), medians, keys)
     mads = group_quantiles(apart, keys, {f"{c}_mad": (F.abs(F.col(c) - F.col(f"{c}_median")), 0.5) for c in columns})
     joined = attach_group(medians, mads, keys)

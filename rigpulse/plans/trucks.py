@@ -20,6 +20,7 @@ from rigpulse.operators.risk import (alert_contributions, alert_text, domain_hin
                                      train_risk_model)
 from rigpulse.operators.rolling import add_rail_features
 from rigpulse.operators.shaping import feature_columns, prediction_table
+from rigpulse.operators.stats import null_profile_row
 from rigpulse.session import materialize
 
 NOT_INPUTS = {"asset_id", "mdm_object_name", "timestamp", "event_dt", "days_to_event", "target"}
@@ -82,9 +83,15 @@ class RiskRun:
 
 def run_risk(windows: DataFrame, cfg: RiskConfig = RiskConfig(), forest: ForestConfig | None = None,
              train: DataFrame | None = None) -> RiskRun:
-    """Fit on the labelled windows (or on ``train``, a part of them) and score them all."""
-    raw = feature_columns(windows, NOT_INPUTS)
-    filled = impute_with_flags(materialize(windows), raw)
+    """Fit on the labelled windows (or on ``train``, a part of them) and score them all.
+
+    Features without any value are left out.
+    """
+    stored = materialize(windows)
+    rows = stored.count()
+    nulls = null_profile_row(stored, feature_columns(stored, NOT_INPUTS))
+    raw = [c for c, n in nulls.items() if n < rows]
+    filled = impute_with_flags(stored.drop(*[c for c in nulls if c not in raw]), raw)
     inputs = [*raw, *[c for c in filled.columns if c.endswith("_is_missing")]]
     ready = materialize(add_outlier_feature(filled, inputs, cfg, forest))
     columns = [*inputs, "anomaly_score"]

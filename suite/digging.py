@@ -89,7 +89,7 @@ def sampling_step(spark, d):
 
 
 @query(f"WITH {_CLEAN}, {REGIMES}, {sliding_sql('reg')} SELECT event_id, {', '.join(sliding_names(CFG))} FROM sliding",
-       sliding_names(CFG))
+       sliding_names(CFG), digits=8)
 def sliding_features(spark, d):
     labeled = plan.materialize(regimes(spark, d, "user_id"))
     stepped = plan.materialize(labeled.join(rolling.sampling_step(labeled), "excavator_id"))
