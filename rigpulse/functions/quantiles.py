@@ -31,7 +31,7 @@ def quantile_array(df: DataFrame, keys: Sequence[str], values: Column, width: in
     def inside(v: Column, i: Column, p: int) -> Column:
         slot = i * per + p
         kept = F.when(v < F.get("_lo", slot), F.lit(_BELOW)).otherwise(v)
-        return F.when(v <= F.get("_hi", slot), F.struct(slot.alias("slot"), kept.alias("v"), F.get("_n", i).alias("n")))
+        return F.when(v <= F.get("_hi", slot), F.struct(slot.alias("_slot"), kept.alias("_v"), F.get("_n", i).alias("_cnt")))
 
     def hits_of(p: int) -> Column:
         return F.transform("_x", lambda v, i: inside(v, i, p))
@@ -39,23 +39,23 @@ def quantile_array(df: DataFrame, keys: Sequence[str], values: Column, width: in
     hits = [hits_of(p) for p in range(per)]
     counted = (
         placed.select(*keys, F.inline(F.array_compact(F.concat(*hits) if per > 1 else hits[0])))
-        .groupBy(*keys, "slot", "n", "v").agg(F.count(F.lit(1)).alias("m"))
+        .groupBy(*keys, "_slot", "_cnt", "_v").agg(F.count(F.lit(1)).alias("_m"))
     )
-    ranked = counted.withColumn("up_to", F.sum("m").over(Window.partitionBy(*keys, "slot", "n").orderBy("v")))
-    prob = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("slot") % per)
+    ranked = counted.withColumn("_up_to", F.sum("_m").over(Window.partitionBy(*keys, "_slot", "_cnt").orderBy("_v")))
+    prob = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("_slot") % per)
     picks = (
-        ranked.withColumn("place", prob * (F.col("n") - 1))
-        .groupBy(*keys, "slot", "n", "place")
+        ranked.withColumn("_place", prob * (F.col("_cnt") - 1))
+        .groupBy(*keys, "_slot", "_cnt", "_place")
         .agg(
-            F.min(F.when(F.col("up_to") > F.floor("place"), F.col("v"))).alias("a"),
-            F.min(F.when(F.col("up_to") > F.ceil("place"), F.col("v"))).alias("b"),
+            F.min(F.when(F.col("_up_to") > F.floor("_place"), F.col("_v"))).alias("_a"),
+            F.min(F.when(F.col("_up_to") > F.ceil("_place"), F.col("_v"))).alias("_b"),
         )
     )
-    missed = F.col("a").isNull() | F.col("b").isNull() | (F.col("a") == _BELOW)
+    missed = F.col("_a").isNull() | F.col("_b").isNull() | (F.col("_a") == _BELOW)
     value = F.when(missed, F.raise_error(F.lit("quantile rank lies outside its bracket"))).otherwise(
-        F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.floor("place"))
+        F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_place") - F.floor("_place"))
     )
-    return _by_slot(picks.select(*keys, "slot", value.alias("v")), keys, width * per, {name: "v"})
+    return _by_slot(picks.select(*keys, "_slot", value.alias("_v")), keys, width * per, {name: "_v"})
 
 
 def _brackets(source: DataFrame, keys: Sequence[str], width: int, probs: Sequence[float]) -> DataFrame:
@@ -65,16 +65,16 @@ def _brackets(source: DataFrame, keys: Sequence[str], width: int, probs: Sequenc
     """
     step, per = len(_MARGINS), len(probs)
     marks = [max(0.0, p - m) for p in probs for m in _MARGINS] + [min(1.0, p + m) for p in probs for m in _MARGINS]
-    long = source.select(*keys, F.posexplode("_x").alias("slot", "v")).where(F.col("v").isNotNull())
-    sketch = long.groupBy(*keys, "slot").agg(
-        F.percentile_approx("v", marks, SKETCH_ACCURACY).alias("s"), F.count(F.lit(1)).alias("n"))
-    margin = F.ceil(F.log2(F.lit(3.0) / (F.lit(_MARGINS[0]) * F.col("n"))))
+    long = source.select(*keys, F.posexplode("_x").alias("_slot", "_v")).where(F.col("_v").isNotNull())
+    sketch = long.groupBy(*keys, "_slot").agg(
+        F.percentile_approx("_v", marks, SKETCH_ACCURACY).alias("_s"), F.count(F.lit(1)).alias("_cnt"))
+    margin = F.ceil(F.log2(F.lit(3.0) / (F.lit(_MARGINS[0]) * F.col("_cnt"))))
     margin = F.greatest(F.lit(0), F.least(F.lit(step - 1), margin)).cast("int")
-    edges = sketch.withColumn("margin", margin)
-    lows = F.array(*[F.get("s", F.col("margin") + p * step) for p in range(per)])
-    highs = F.array(*[F.get("s", F.col("margin") + (per + p) * step) for p in range(per)])
-    dense = _by_slot(edges.select(*keys, "slot", "n", lows.alias("lo"), highs.alias("hi")), keys, width,
-                     {"_n": "n", "_lo": "lo", "_hi": "hi"})
+    edges = sketch.withColumn("_margin", margin)
+    lows = F.array(*[F.get("_s", F.col("_margin") + p * step) for p in range(per)])
+    highs = F.array(*[F.get("_s", F.col("_margin") + (per + p) * step) for p in range(per)])
+    dense = _by_slot(edges.select(*keys, "_slot", "_cnt", lows.alias("_elo"), highs.alias("_ehi")), keys, width,
+                     {"_n": "_cnt", "_lo": "_elo", "_hi": "_ehi"})
     if per == 1:
         flat = {c: F.transform(c, lambda a: F.get(a, F.lit(0))) for c in ("_lo", "_hi")}
     else:
@@ -85,7 +85,7 @@ def _brackets(source: DataFrame, keys: Sequence[str], width: int, probs: Sequenc
 
 def _by_slot(long: DataFrame, keys: Sequence[str], slots: int, names: dict[str, str]) -> DataFrame:
     """One row per group with dense arrays indexed by slot."""
-    maps = [F.map_from_entries(F.collect_list(F.struct("slot", c))).alias(name) for name, c in names.items()]
+    maps = [F.map_from_entries(F.collect_list(F.struct("_slot", c))).alias(name) for name, c in names.items()]
 
     def dense_of(name: str) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda s: F.try_element_at(name, s)).alias(name)
@@ -97,7 +97,7 @@ def _by_slot(long: DataFrame, keys: Sequence[str], slots: int, names: dict[str,
 def _attach(source: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFrame:
     if keys:
         return source.join(brackets, list(keys))
-    packed = brackets.select(F.struct("_lo", "_hi", "_n").alias("b")).scalar()
+    packed = brackets.select(F.struct("_lo", "_hi", "_n").alias("_b")).scalar()
     return source.select("*", packed.alias("_b")).select("_x", "_b.*")
 
 

@@ -24,7 +24,7 @@ class Series:
     keys: tuple[str, ...]
     ts: str = "timestamp"
     ties: tuple[str, ...] = ()
-    chunk_seconds: int = 6 * 3600
+    chunk_seconds: int = 86400
     block_rows: int = 16384
 
     @property

@@ -160,18 +160,18 @@ def _refined(source: DataFrame, brackets: DataFrame, keys: Sequence[str], width:
         F.min(F.when(F.col("up_to") > F.ceil("place"), F.col("v"))).cast("int").alias("last"))
     bins = chosen.groupBy("_g").agg(
         F.map_from_entries(F.collect_list(F.struct("slot", F.struct("first", "last")))).alias("_bins"))
-    low, high = F.get("_lo", F.col("i")), F.get("_hi", F.col("i"))
-    narrowed = brackets.join(bins, "_g", "left").select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("i"))
-    found = F.try_element_at("_bins", F.col("i"))
+    low, high = F.get("_lo", F.col("_i")), F.get("_hi", F.col("_i"))
+    narrowed = brackets.join(bins, "_g", "left").select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("_i"))
+    found = F.try_element_at("_bins", F.col("_i"))
     span = (high - low) / _BINS
     finite = (low > _LOW) & (high < _HIGH) & found.isNotNull()
     # one bin of slack on either side keeps the bounds safe from rounding
     new_low = F.when(finite, F.greatest(low, low + span * (found["first"] - 2))).otherwise(low)
     new_high = F.when(finite, F.least(high, low + span * (found["last"] + 1))).otherwise(high)
-    pairs = narrowed.select(*keys, "_g", "_size", F.struct("i", new_low.alias("lo"), new_high.alias("hi")).alias("e"))
-    packed = pairs.groupBy(*keys, "_g", "_size").agg(F.sort_array(F.collect_list("e")).alias("e"))
-    return packed.select(*keys, "_g", "_size", F.transform("e", lambda e: e["lo"]).alias("_lo"),
-                         F.transform("e", lambda e: e["hi"]).alias("_hi"))
+    pairs = narrowed.select(*keys, "_g", "_size", F.struct("_i", new_low.alias("lo"), new_high.alias("hi")).alias("_e"))
+    packed = pairs.groupBy(*keys, "_g", "_size").agg(F.sort_array(F.collect_list("_e")).alias("_e"))
+    return packed.select(*keys, "_g", "_size", F.transform("_e", lambda e: e["lo"]).alias("_lo"),
+                         F.transform("_e", lambda e: e["hi"]).alias("_hi"))
 
 
 def _bin_of(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:

@@ -105,7 +105,8 @@ def sampling_step(df: DataFrame, series: Series = EXCAVATOR) -> DataFrame:
         *series.keys, ((F.col("_us") - F.col("_us_before")) / F.lit(1e6)).alias("_gap"))
     typical = group_quantiles(gaps, series.keys, {"_gap": (F.col("_gap"), 0.5)})
     machines = df.select(*series.keys).distinct()
-    step = F.coalesce(F.least(F.greatest(F.col("_gap"), F.lit(1.0)), F.lit(60.0)).cast("int"), F.lit(5))
+    clipped = F.least(F.greatest(F.col("_gap"), F.lit(1.0)), F.lit(60.0)).cast("int")
+    step = F.when(F.col("_gap").isNotNull(), clipped).otherwise(5)
     return machines.join(typical, list(series.keys), "left").select(*series.keys, step.alias("step"))
 
 
