@@ -48,8 +48,11 @@ def feature_table(clean: DataFrame, cfg: EpisodeConfig) -> DataFrame:
 
 
 def score_excavators(raw: DataFrame, cfg: EpisodeConfig = EpisodeConfig(), order: Sequence[str | Column] = ("timestamp",),
-                     forest: ForestConfig | None = None) -> DataFrame:
-    """Point and episode scores and labels of every reading, all machines in one job."""
+                     forest: ForestConfig | None = None, keep_features: bool = False) -> DataFrame:
+    """Point and episode scores and labels of every reading, all machines in one job.
+
+    Labelling works on the readings and scores alone; ``keep_features`` joins the window features back.
+    """
     clean = materialize(clean_readings(raw, order))
     features = materialize(feature_table(clean, cfg))
     names = [*EXCAVATOR_SENSORS, *sliding_names(cfg)]
@@ -69,14 +72,20 @@ def score_excavators(raw: DataFrame, cfg: EpisodeConfig = EpisodeConfig(), order
                                    cfg.mad_floor)
     else:
         scored = scored.withColumns({c: F.lit(None).cast("double") for c in ("anomaly_score_stat", "_stat_train")})
-    return label_scores(materialize(scored), cfg)
+    labelled = label_scores(materialize(scored.drop(*sliding_names(cfg))), cfg)
+    if keep_features:
+        labelled = labelled.join(features.select(*ROW_KEY, *sliding_names(cfg)), ROW_KEY)
+    return labelled
 
 
 def label_scores(scored: DataFrame, cfg: EpisodeConfig) -> DataFrame:
     """Normalize, combine, threshold and smooth the point scores."""
     train = F.col("is_train") == 1
-    fills = group_quantiles(scored, KEY, {"_fill": (F.col("_if"), 0.5), "_fill_train": (F.when(train, F.col("_if")), 0.5)}) \
-        if cfg.forest_weight else None
+    fills = None
+    if cfg.forest_weight:
+        known = F.col("_if")
+        fills = materialize(group_quantiles(
+            scored, KEY, {"_fill": (known, 0.5), "_fill_train": (F.when(train, known), 0.5)}))
     if fills is not None:
         scored = scored.join(fills, KEY, "left")
     else:
@@ -85,7 +94,7 @@ def label_scores(scored: DataFrame, cfg: EpisodeConfig) -> DataFrame:
         "*", F.coalesce("_if", "_fill").alias("anomaly_score_if"),
         F.when(train, F.coalesce("_if", "_fill_train")).alias("_if_train")).drop("_if", "_fill", "_fill_train")
     used = [c for c, w in (("_if_train", cfg.forest_weight), ("_stat_train", cfg.stat_weight)) if w]
-    stats = reference_stats(scored.where(train), KEY, used, cfg.mad_floor)
+    stats = materialize(reference_stats(scored.where(train), KEY, used, cfg.mad_floor))
     scored = scored.join(stats, KEY, "left")
 
     def norm(column: str, reference: str) -> Column:
