@@ -9,7 +9,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from rigpulse.session import build_session
+from rigpulse.session import build_session, use_local_folder
 from suite.catalog import QUERIES
 
 HEADLINE = ["label_windows", "resample_dense", "sliding_features", "robust_stat_score", "episode_summary",
@@ -23,6 +23,7 @@ def main() -> None:
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
+    use_local_folder(spark)
     spark.range(1000).selectExpr("sum(id)").collect()
     chosen = sys.argv[1:] or HEADLINE
     times = {}

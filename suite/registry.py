@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, TimestampType
 
-from rigpulse.session import use_utc
+from rigpulse.session import ship_package, use_local_folder, use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,8 @@ def query(sql: str | None = None, doubles: list[str] | str = (), digits: int = 6
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             use_utc(spark)
+            use_local_folder(spark)
+            ship_package(spark)
             return tidy(fn(spark, sf_dir), digits)
 
         QUERIES[key] = run

@@ -8,11 +8,12 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
-    from rigpulse.session import build_session
+    from rigpulse.session import build_session, use_local_folder
 
     session = build_session("tests", "local[*]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
         "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
+    use_local_folder(session)
     yield session
     session.stop()
