@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rigpulse.llm import simhash
+from rigpulse.llm import quality_ledger, simhash
+from rigpulse.llm.common import Workspace
 from rigpulse.session import ship_package, use_local_folder, use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,15 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                          "component_id")
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "quality")
+    entries = ws.table(quality_ledger.ledger(table(spark, sf_dir, "documents")), "ledger")
+    return quality_ledger.apply_policy(entries).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_lines", "failure_bits", F.lit(quality_ledger.CURRENT).alias("policy_version"))
+
+
+ORACLES["op8_quality_rules"] = quality_ledger.verdict_sql()
