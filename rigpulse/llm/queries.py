@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rigpulse.llm import quality_ledger, simhash
+from rigpulse.llm import language_id, packing, quality_ledger, simhash, tokens
 from rigpulse.llm.common import Workspace
 from rigpulse.session import ship_package, use_local_folder, use_utc
 
@@ -51,3 +51,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op8_quality_rules"] = quality_ledger.verdict_sql()
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.tokenizer_path(tokens.WORD_BPE), 2)
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit_languages(docs))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected")
