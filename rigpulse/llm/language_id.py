@@ -167,12 +167,14 @@ def spherical_means(x: np.ndarray, config: LanguageConfig) -> tuple[np.ndarray,
     return centers.astype(np.float32), float(best[len(best) // 100]) * config.limit_share
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """(doc_id, lang_pred, score, rejected) of each row's whole text.
+def identify(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in ``carry``, then lang_pred, score and rejected of each row's whole text.
 
     Null, empty and letterless texts, and all texts if the model is empty, are ``und`` with score 0 and rejected. Ties
-    go to the first language by name. Only doc_id and text are read.
+    go to the first language by name. Other columns than text and ``carry`` are not read.
     """
+    width = len(carry)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, counts, has in _counted(batches):
             if len(model.languages):
@@ -183,8 +185,12 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 named = [model.languages[model.owners[b]] if ok else UNKNOWN for b, ok in zip(best, has)]
             else:
                 named, score, far = [UNKNOWN] * len(has), np.zeros(len(has)), np.ones(len(has), bool)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(named, pa.string()), pa.array(score), pa.array(far)],
-                                             names=["doc_id", "lang_pred", "score", "rejected"])
-
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:width], pa.array(named, pa.string()), pa.array(score), pa.array(far)],
+                names=[*(f"c{k}" for k in range(width)), "lang_pred", "score", "rejected"])
+
+    chosen = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)),
+                         F.col("text").cast("string").alias("text"))
+    kinds = ", ".join(f"c{k} {chosen.schema[k].dataType.simpleString()}" for k in range(width))
+    made = chosen.mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")
+    return made.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(carry)), "lang_pred", "score", "rejected")

@@ -68,7 +68,8 @@ def measure(docs: DataFrame, text_column: str = "text", keep: tuple[str, ...] =
     length = F.char_length("_text")
     return repeated.select(
         *(F.col(f"`{c}`") for c in keep),
-        F.size("_words").cast("long").alias("n_words"),
+        # not deterministic in name only: filters above must not pull the measurements down and evaluate them again
+        F.when(F.monotonically_increasing_id() >= 0, F.size("_words").cast("long")).alias("n_words"),
         F.char_length(F.translate("_text", SPACES, "")).cast("long").alias("word_chars"),
         (length - F.char_length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.size("_lines").cast("long").alias("n_lines"),

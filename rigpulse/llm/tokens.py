@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +16,10 @@ from rigpulse.llm.common import slices
 
 WORD_BPE = "word_bpe_49k.json"
 #: Distinct words whose ids a Python worker remembers.
-_REMEMBERED = 300_000
+_REMEMBERED = 500_000
 _ENCODERS: dict[str, WordIds] = {}
+_SENTENCE_MARKS = re.compile(rb"([A-Za-z])([.,!?;:]+)(?=[\x20\x09-\x0d])")
+_PLAIN = re.compile(rb"[a-z]+")
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,8 +31,9 @@ def tokenizer_path(name: str) -> str:
 class WordIds(dict):
     r"""Bytes of a word to its ids as little-endian unsigned 16-bit numbers.
 
-    The tokenizer drops white space and splits at it, so the ids of a text are those of its words in turn. Texts are
-    cut at ASCII white space only; other white space stays inside a word and is left to the tokenizer.
+    The tokenizer lowers case, drops white space and splits at it, and parts letters from marks, so the ids of a text
+    are those of its words in turn. Texts are cut at ASCII white space and before the marks that close an ASCII word;
+    whatever else a word holds is left to the tokenizer. Words of ASCII letters need only its merges.
     """
 
     def __init__(self, path: str):
@@ -41,14 +46,23 @@ class WordIds(dict):
             raise ValueError("ids of this vocabulary need more than 16 bits")
 
     def ids(self, text: str) -> bytes:
-        words = text.encode("utf-8", "replace").split()
+        raw = text.encode("utf-8", "replace")
+        if b"<|" not in raw:  # names of special tokens keep their case
+            raw = raw.lower()
+        words = _SENTENCE_MARKS.sub(rb"\1 \2", raw).split()
         if len(self) > _REMEMBERED:
             self.clear()
-        missing = [w for w in set(words) if w not in self]
-        for at in range(0, len(missing), 4096):
-            some = missing[at:at + 4096]
+        other = []
+        for word in [w for w in set(words) if w not in self]:
+            if _PLAIN.fullmatch(word):
+                found = self.tokenizer.model.tokenize(word.decode())
+                self[word] = struct.pack(f"<{len(found)}H", *(t.id for t in found))
+            else:
+                other.append(word)
+        for at in range(0, len(other), 4096):
+            some = other[at:at + 4096]
             found = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
-            self.update((w, np.asarray(e.ids, "<u2").tobytes()) for w, e in zip(some, found))
+            self.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(some, found))
         return b"".join(map(self.__getitem__, words))
 
 
