@@ -39,12 +39,14 @@ REACH = LENGTH - GRAM + 1
 BLOCK_BYTES = 2 << 20
 #: Text per reducer of each kind.
 REDUCER_BYTES = 8 << 20
+#: Text in one index of a reducer.
+INDEX_BYTES = 1 << 19
 #: Different contexts of one anchor beyond which its windows are dealt one by one.
 HOT_CONTEXTS = 2048
 #: Rows without an id come after all others.
 NO_ID = np.iinfo(np.int64).max
 _PLACE_BITS = 22
-_SEGMENT = 1 << 21
+_SEGMENT = 1 << 17
 _FULL = np.uint32(0xFFFFFFFF)
 _EMPTY = np.zeros(0, np.int64)
 
@@ -59,14 +61,25 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 _BYTE_HASH = _mix(np.arange(256, dtype=np.uint64), np.arange(1, 257, dtype=np.uint64))
+_ODD = pow(0x9E3779B97F4A7C15, 1, 1 << 64)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from each position."""
+    """Hash of the GRAM bytes from each position: a polynomial, doubled up to eight and twice that, then stirred."""
     h = _BYTE_HASH[data]
-    for step in (1, 2, 4):
-        h = _mix(h[:-step], h[step:])
-    return _mix(_mix(h[:-8], h[8:])[:-8], h[16:])
+    for width in (1, 2, 4):
+        h = _joined(h[:-width], h[width:], width)
+    h = _joined(_joined(h[:-8], h[8:], 8)[:-8], h[16:], 8)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def _joined(left: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
+    made = left * np.uint64(pow(_ODD, width, 1 << 64))
+    made += right
+    return made
 
 
 def contexts(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
@@ -122,57 +135,64 @@ class Block:
         self.reducers = np.uint64(reducers)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct anchors, by reducer: reducer, hash of 48 bits, sign (how many contexts, 128 if in two documents)."""
+        """Distinct anchors in order: reducer, hash of 48 bits, sign (how many contexts, 128 if in two documents)."""
         short = self.found["anchor"] >> np.uint64(16)
-        order = np.lexsort((self.found["content"], short, short % self.reducers))
-        short, content, owner = short[order], self.found["content"][order], self.owner[order]
+        order = np.argsort(short)
         new = np.ones(len(short), bool)
-        new[1:] = short[1:] != short[:-1]
+        new[1:] = short[order][1:] != short[order][:-1]
+        self.group = np.empty(len(short), np.int64)
+        self.group[order] = np.cumsum(new) - 1
         first = np.flatnonzero(new)
-        if not len(first):
-            return _EMPTY, short, np.zeros(0, np.uint8)
-        other = np.ones(len(short), bool)
-        other[1:] = new[1:] | (content[1:] != content[:-1])
-        ids = self.ids[owner]
-        several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
-        sign = np.minimum(np.add.reduceat(other.astype(np.int64), first), 127) + 128 * several
-        return (short[first] % self.reducers).astype(np.int64), short[first], sign.astype(np.uint8)
+        sign = np.ones(len(first), np.uint8)
+        again = np.flatnonzero(np.diff(first, append=len(short)) > 1)
+        if len(again):
+            many = np.zeros(len(first), bool)
+            many[again] = True
+            at = np.flatnonzero(many[self.group])
+            group, content, ids = self.group[at], self.found["content"][at], self.ids[self.owner[at]]
+            by = np.lexsort((content, group))
+            group, content, ids = group[by], content[by], ids[by]
+            begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            other = np.append(True, (group[1:] != group[:-1]) | (content[1:] != content[:-1])).astype(np.int64)
+            several = np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin)
+            sign[group[begin]] = np.minimum(np.add.reduceat(other, begin), 127) + 128 * several
+        short = short[order[first]]
+        return self.reducer(short), short, sign
+
+    def reducer(self, short: np.ndarray) -> np.ndarray:
+        """Ranges of the 48-bit hashes."""
+        return ((short >> np.uint64(16)) * self.reducers >> np.uint64(32)).astype(np.int64)
 
     def chosen(self, verdicts: dict[int, bytes]) -> dict[str, np.ndarray]:
         """Contexts of anchors that several documents have, each window of a hot anchor as a context of its own.
 
         start, windows, owner by occurrence, and ``kind``: its place among the distinct ones, which are listed by
-        reducer as first (an occurrence with the smallest id) and route.
+        reducer as first (an occurrence with the smallest id), route (the reducer) and tag (what equal windows share).
         """
         reducer, short, _ = self.anchors()
-        if not len(short):
-            return {"start": _EMPTY, "windows": _EMPTY, "owner": _EMPTY, "kind": _EMPTY, "first": _EMPTY, "route": _EMPTY}
         says = np.zeros(len(short), np.uint8)
         for r, answer in verdicts.items():
             low, high = np.searchsorted(reducer, [r, r + 1])
             says[low:high] = np.frombuffer(answer, np.uint8)
-        order = np.argsort(short)
-        mine = self.found["anchor"] >> np.uint64(16)
-        verdict = says[order][np.searchsorted(short[order], mine)]
+        verdict = says[self.group]
         plain, hot = np.flatnonzero(verdict == 1), np.flatnonzero(verdict == 2)
         count = self.found["windows"][hot]
         single = np.repeat(self.found["start"][hot], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         start = np.concatenate([self.found["start"][plain], single])
         windows = np.concatenate([self.found["windows"][plain], np.ones(len(single), np.int64)])
         owner = np.concatenate([self.owner[plain], np.repeat(self.owner[hot], count)])
-        content, route = self.found["content"][plain], mine[plain]
+        content, tag = self.found["content"][plain], self.found["anchor"][plain] >> np.uint64(16)
         if len(single):
             own = self._window_hashes(single)
-            content, route = np.concatenate([content, own]), np.concatenate([route, own >> np.uint64(16)])
-        route = route % self.reducers
-        order = np.lexsort((self.ids[owner], content, route))
+            content, tag = np.concatenate([content, own]), np.concatenate([tag, own >> np.uint64(16)])
+        order = np.lexsort((self.ids[owner], content, tag))
         new = np.ones(len(order), bool)
-        new[1:] = (content[order][1:] != content[order][:-1]) | (route[order][1:] != route[order][:-1])
+        new[1:] = (content[order][1:] != content[order][:-1]) | (tag[order][1:] != tag[order][:-1])
         kind = np.empty(len(order), np.int64)
         kind[order] = np.cumsum(new) - 1
         first = order[new]
         return {"start": start, "windows": windows, "owner": owner, "kind": kind, "first": first,
-                "route": route[first].astype(np.int64)}
+                "route": self.reducer(tag[first]), "tag": (tag[first] & np.uint64(0xFFFFFFFF)).astype("<u4")}
 
     def _window_hashes(self, start: np.ndarray) -> np.ndarray:
         made = []
@@ -281,16 +301,38 @@ class RunIndex:
                 np.concatenate([f[2] for f in found]))
 
 
-def repeated_windows(text: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Masks of distinct strings: bit k is set if the window at k also lies in a string with a smaller id."""
+def repeated_windows(text: np.ndarray, lengths: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Masks of distinct strings: bit k is set if the window at k also lies in a string with a smaller id.
+
+    Equal windows have equal tags: a string alone with its tag has no partner, and the others are indexed in parts that
+    keep a tag together.
+    """
+    masks = np.zeros(len(lengths), np.uint32)
+    order = np.argsort(tags, kind="stable")
+    first = np.flatnonzero(np.append(True, tags[order][1:] != tags[order][:-1])) if len(order) else _EMPTY
+    size = np.diff(first, append=len(order))
+    order = order[np.repeat(size > 1, size)]
+    size = size[size > 1]
+    begin = np.cumsum(lengths) - lengths
+    ends = np.cumsum(size)
+    weight = np.cumsum(lengths[order] + 1)[ends - 1] if len(ends) else _EMPTY
+    part = weight // INDEX_BYTES
+    cuts = [0, *ends[np.flatnonzero(np.diff(part))].tolist(), len(order)]
+    for low, high in zip(cuts, cuts[1:]):
+        some = order[low:high]
+        if len(some):
+            masks[some] = _indexed(np.frombuffer(pieces(text, begin[some], lengths[some]), np.uint8), lengths[some], ids[some])
+    return masks
+
+
+def _indexed(text: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
     masks = np.zeros(len(lengths), np.uint32)
-    if len(lengths):
-        index = RunIndex(text, lengths)
-        at, interval = index.stream(lengths)
-        least = np.full(len(index.interval), NO_ID)
-        np.minimum.at(least, interval, ids[at[:, 0]])
-        hit = at[least[interval] < ids[at[:, 0]]]
-        np.bitwise_or.at(masks, hit[:, 0], np.uint32(1) << hit[:, 1].astype(np.uint32))
+    index = RunIndex(text, lengths)
+    at, interval = index.stream(lengths)
+    least = np.full(len(index.interval), NO_ID)
+    np.minimum.at(least, interval, ids[at[:, 0]])
+    hit = at[least[interval] < ids[at[:, 0]]]
+    np.bitwise_or.at(masks, hit[:, 0], np.uint32(1) << hit[:, 1].astype(np.uint32))
     return masks
 
 
@@ -300,7 +342,8 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 _SIGNALS = pa.schema([("reducer", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("signs", pa.binary())])
 _ANSWERS = pa.schema([("block", pa.int64()), ("reducer", pa.int64()), ("answer", pa.binary())])
-_SENT = pa.schema([("reducer", pa.int64()), ("block", pa.int64()), ("lengths", pa.binary()), ("ids", pa.binary()), ("text", pa.binary())])
+_SENT = pa.schema([("reducer", pa.int64()), ("block", pa.int64()), ("lengths", pa.binary()), ("ids", pa.binary()), ("tags", pa.binary()),
+                   ("text", pa.binary())])
 
 
 def _six_bytes(values: np.ndarray) -> bytes:
@@ -392,6 +435,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 zip_text = zstandard.ZstdCompressor(3).compress
                 yield _batch(_SENT, some, [row["block"]] * len(some), [length[a:b].astype(np.uint8).tobytes() for a, b in zip(low, high)],
                              [ids[a:b].tobytes() for a, b in zip(low, high)],
+                             [picked["tag"][a:b].tobytes() for a, b in zip(low, high)],
                              [zip_text(pieces(block.data, start[a:b], length[a:b])) for a, b in zip(low, high)])
 
     def match(table: pa.Table) -> pa.Table:
@@ -404,8 +448,10 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         kind = coded.indices.to_numpy()
         least = np.full(len(coded.dictionary), NO_ID)
         np.minimum.at(least, kind, ids)
+        tags = np.zeros(len(least), np.uint32)
+        tags[kind] = np.frombuffer(b"".join(table["tags"].to_pylist()), "<u4")
         own = np.diff(np.frombuffer(coded.dictionary.buffers()[1], np.int32, len(least) + 1)).astype(np.int64)
-        found = repeated_windows(np.frombuffer(coded.dictionary.buffers()[2] or b"", np.uint8)[:own.sum()], own, least)
+        found = repeated_windows(np.frombuffer(coded.dictionary.buffers()[2] or b"", np.uint8)[:own.sum()], own, least, tags)
         masks = np.where(ids > least[kind], _FULL, found[kind]).astype("<u4")
         sizes = np.array([len(x) for x in table["lengths"].to_pylist()])
         ends = np.cumsum(sizes)
@@ -414,7 +460,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     asked = stored.select("block", "ids", "ends", "data").join(verdicts, "block", "left")
     masks = ws.table(
-        asked.mapInArrow(send, "reducer long, block long, lengths binary, ids binary, text binary")
+        asked.mapInArrow(send, "reducer long, block long, lengths binary, ids binary, tags binary, text binary")
         .groupBy("reducer").applyInArrow(match, answers)
         .groupBy("block").agg(F.collect_list(F.struct("reducer", "answer")).alias("masks")), "masks")
 
