@@ -114,7 +114,8 @@ def contexts(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
         start, count = at[begin], np.diff(begin, append=len(at))
         stop = start + count + LENGTH - 1 - GRAM
         content = _mix(_mix(h[start], h[start + GRAM]), _mix(h[np.minimum(start + 2 * GRAM, stop)], h[stop])) + count.astype(np.uint64)
-        found.append((start + low, count, h[place[start]], content))
+        smallest = h[place[start]]  # stirred again: smallest hashes crowd at the low end of the ranges
+        found.append((start + low, count, _mix(smallest, smallest >> np.uint64(31)), content))
     names = ("start", "windows", "anchor", "content")
     kinds = (np.int64, np.int64, np.uint64, np.uint64)
     return {n: np.concatenate([f[k] for f in found]) if found else np.zeros(0, t) for k, (n, t) in enumerate(zip(names, kinds))}
