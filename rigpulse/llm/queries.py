@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rigpulse.llm import embedding_dedup, language_id, packing, quality_ledger, repeats, simhash, tokens, warc
+from rigpulse.llm import (
+    embedding_dedup, language_id, packing, quality_ledger, repeats, sentence_pieces, simhash, token_counts, token_shards,
+    tokens, warc)
 from rigpulse.llm.common import Workspace
 from rigpulse.session import ship_package, use_local_folder, use_utc
 
@@ -89,3 +91,23 @@ f AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) E
 SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
   CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN last <> page_id THEN last END AS refers_to FROM f"""
+
+
+@query
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "shards")
+    path = tokens.tokenizer_path(tokens.WORD_BPE)
+    manifest, total = token_shards.write_shards(table(spark, sf_dir, "documents"), ws, path)
+    return token_shards.read_shards(manifest, total)
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "counts")
+    files, order = token_counts.write_token_files(table(spark, sf_dir, "documents"), ws, tokens.tokenizer_path(tokens.WORD_BPE))
+    return token_counts.count_tokens(files, ws).join(order, ["path", "ordinal"]).select("doc_id", "n_tokens")
+
+
+@query
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.piece_digests(table(spark, sf_dir, "documents"), tokens.tokenizer_path(sentence_pieces.PIECES))
