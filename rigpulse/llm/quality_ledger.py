@@ -109,7 +109,7 @@ def ablations(entries: DataFrame) -> DataFrame:
     bits, docs = F.col("failure_bits").bitwiseAND(F.col("mask")), F.col("docs")
     without = F.col("failure_bits").bitwiseAND(F.col("mask").bitwiseXOR(F.col("bit")))
     some = lambda test: F.coalesce(F.sum(F.when(test, docs)), F.lit(0))
-    slots = policies.withColumn("failure_bits", F.explode(F.sequence(F.lit(0), F.lit((1 << len(RULES)) - 1))).cast("long"))
+    slots = policies.withColumn("failure_bits", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << len(RULES)) - 1).cast("long"))))
     return slots.join(patterns, "failure_bits").groupBy("version", "rule").agg(
         some(bits.bitwiseAND(F.col("bit")) != 0).alias("failing"), some(bits == F.col("bit")).alias("rejected_alone"),
         some(bits == 0).alias("kept"), some(without == 0).alias("kept_without"))

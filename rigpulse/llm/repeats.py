@@ -388,7 +388,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     source = docs.select(F.col(f"`{id_column}`").cast("long").alias("_id"),
                          F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).cast("binary").alias("_text"),
-                         *(F.col(f"`{n}`") for n in names))
+                         *(F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)))
     stored = ws.table(source.mapInArrow(blocks, "block long, ids binary, ends binary, n long, rest binary, data binary"), "blocks")
     total = stored.agg(F.sum("n")).first()[0] or 0
     reducers = max(1, -(-total // REDUCER_BYTES))
@@ -485,8 +485,9 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                     made.append((*values, kept.decode("utf-8", "ignore")) if keep_text else values)
                 yield pa.RecordBatch.from_arrays(
                     [*rest.columns, *(pa.array(c, kind) for c, (_, kind) in zip(zip(*made), outputs))],
-                    names=[*names, *(n for n, _ in outputs)])
+                    names=[*(f"c{k}" for k in range(len(names))), *(n for n, _ in outputs)])
 
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried), "_n_bytes long", "_n_removed long",
+    fields = ", ".join([*(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(carried)), "_n_bytes long", "_n_removed long",
                         "_n_spans long", "_kept_sha256 string", *["_kept string"] * keep_text])
-    return stored.join(verdicts, "block", "left").join(masks, "block", "left").mapInArrow(cut, fields)
+    made = stored.join(verdicts, "block", "left").join(masks, "block", "left").mapInArrow(cut, fields)
+    return made.select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)), *(n for n, _ in outputs))

@@ -38,7 +38,7 @@ def write_token_files(docs: DataFrame, ws: Workspace, path: str, end: int = END)
     schema = pa.schema([("path", pa.string()), ("n_bytes", pa.int64()), ("ordinal", pa.int64()), ("doc_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, ordinary=True)  # the separator occurs nowhere else
         system, base = place(folder)
         system.create_dir(base, recursive=True)
         out = None

@@ -80,7 +80,7 @@ def stream_starts(ws: Workspace, docs: DataFrame, path: str, end: int) -> tuple[
     The prefix sum runs in two levels: inside ranges of doc_id, and over the sums of the ranges. Repeated rows are one
     row here, with room for all of them.
     """
-    lengths = token_rows(docs, lambda row, ids: [(*row, len(ids))], "doc_id long,text_hash long,n long", _columns(), path, end)
+    lengths = token_rows(docs, lambda row, ids: [(*row, len(ids))], "doc_id long,text_hash long,n long", _columns(), path, end, ordinary=True)
     groups = lengths.groupBy("doc_id", "text_hash").agg(F.min("n").alias("n"), F.count("*").alias("copies"))
     parts = max(1, int(ws.spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = ws.table(groups.repartitionByRange(parts, F.col("doc_id").asc_nulls_last(), F.col("text_hash"))
@@ -110,7 +110,7 @@ def write_shards(docs: DataFrame, ws: Workspace, path: str, config: ShardConfig
     order = Feistel(count, config.key, config.rounds)
     folder = ws.folder("shards")
 
-    rows = token_rows(docs, lambda row, ids: [(*row, ids.tobytes())], "doc_id long,text_hash long,ids binary", _columns(), path, config.end)
+    rows = token_rows(docs, lambda row, ids: [(*row, ids.tobytes())], "doc_id long,text_hash long,ids binary", _columns(), path, config.end, ordinary=True)
     copy = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(0))) - 1
     s = starts.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "n", "start")
     located = (rows.join(s, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")))

@@ -17,7 +17,7 @@ from rigpulse.llm.common import slices
 WORD_BPE = "word_bpe_49k.json"
 #: Distinct words whose ids a Python worker remembers.
 _REMEMBERED = 500_000
-_ENCODERS: dict[str, WordIds] = {}
+_ENCODERS: dict[tuple[str, bool], WordIds] = {}
 _SENTENCE_MARKS = re.compile(rb"([A-Za-z])([.,!?;:]+)(?=[\x20\x09-\x0d])")
 _PLAIN = re.compile(rb"[a-z]+")
 
@@ -33,15 +33,17 @@ class WordIds(dict):
 
     The tokenizer lowers case, drops white space and splits at it, and parts letters from marks, so the ids of a text
     are those of its words in turn. Texts are cut at ASCII white space and before the marks that close an ASCII word;
-    whatever else a word holds is left to the tokenizer. Words of ASCII letters need only its merges.
+    whatever else a word holds is left to the tokenizer. Words of ASCII letters need only its merges. If ``ordinary``,
+    the names of special tokens in a text are text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = ordinary
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
 
@@ -66,14 +68,15 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, words))
 
 
-def encoder(path: str) -> WordIds:
+def encoder(path: str, ordinary: bool = False) -> WordIds:
     """One for each worker and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordIds(path)
-    return _ENCODERS[path]
+    if (path, ordinary) not in _ENCODERS:
+        _ENCODERS[path, ordinary] = WordIds(path, ordinary)
+    return _ENCODERS[path, ordinary]
 
 
-def token_rows(docs: DataFrame, make, schema: str, columns: dict, path: str, end: int | None) -> DataFrame:
+def token_rows(docs: DataFrame, make, schema: str, columns: dict, path: str, end: int | None,
+               ordinary: bool = False) -> DataFrame:
     """Rows that ``make(row columns, ids)`` yields for each document.
 
     ``columns`` names what to carry (name to expression), ids are an array of unsigned 16-bit numbers that closes with
@@ -83,7 +86,7 @@ def token_rows(docs: DataFrame, make, schema: str, columns: dict, path: str, end
     tail = b"" if end is None else np.asarray([end], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, target = encoder(path), None
+        encode, target = encoder(path, ordinary), None
         for batch in slices(batches, "_text", 4 << 20):
             texts = batch.column(len(names))
             rows = []
