@@ -36,7 +36,8 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     n, rank, width = len(codes), np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1, 1
     while True:
         key = rank * (n + 2)
-        key[:n - width] += rank[width:]
+        if width < n:
+            key[:n - width] += rank[width:]
         order = np.argsort(key, kind="stable")
         width *= 2
         if width >= depth:
@@ -194,7 +195,7 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids): ids of each row's whole text, 16 bits each. Null and empty texts have none; other columns are not read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             ids = model.encode([x.as_py() or "" for x in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
