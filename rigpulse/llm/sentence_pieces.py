@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,8 @@ _CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _REMEMBERED = 400_000
 #: Characters of new chunks matched by one suffix array.
 _AT_ONCE = 1 << 18
+#: Mask of a place inside a chunk.
+_PLACES = (1 << 35) - 1
 _ENCODERS: dict[str, PieceIds] = {}
 
 
@@ -61,7 +64,8 @@ class PieceIds(dict):
             raise ValueError("ids of this vocabulary need more than 16 bits")
         plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.pieces = {model.id_to_piece(i): i for i in plain}
-        self.score = [model.get_score(i) for i in range(size)]
+        #: Place of each piece in the order of scores, best first.
+        self.turn = np.unique([-model.get_score(i) for i in range(size)], return_inverse=True)[1].astype(np.int64)
         self.bytes = {int(model.id_to_piece(i)[3:-1], 16): i for i in range(size) if model.is_byte(i)}
         if any(MARK in p.lstrip(MARK) for p in self.pieces) or len(self.bytes) != 256:
             raise ValueError("a piece goes on into the next word, or bytes are missing")
@@ -72,6 +76,8 @@ class PieceIds(dict):
             self.texts[i] = bytes([b])
         merged = [p for p in self.pieces if len(p) > 1]
         self.longest = max(map(len, merged))
+        if self.longest > 31:
+            raise ValueError("a piece is longer than 31 characters")
         self.names = np.zeros((len(merged), self.longest), np.int64)
         for k, p in enumerate(merged):
             self.names[k, :len(p)] = [ord(c) for c in p]
@@ -108,39 +114,33 @@ class PieceIds(dict):
             high = np.where(open_ & ~below, middle, high)
         return low
 
-    def _relax(self, chunk: str, edges: dict[int, int]) -> list[int]:
+    def _relax(self, chunk: str, edges: dict[int, int], pairs: list[int]) -> list[int]:
+        """Ids of a chunk. ``edges`` gives the turn of a span (start << 32 | stop), ``pairs`` those of two characters."""
         n = len(chunk)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        made = [self.pieces.get(c) for c in chunk]
-        queue: list[tuple[float, int, int, int]] = []
-        wide, score = self.longest + 1, self.score
-
-        def offer(left: int, stop: int) -> None:
-            piece = edges.get(left * wide + stop - left)
-            if piece is not None:
-                heapq.heappush(queue, (-score[piece], left, stop, piece))
-
-        for i in range(n - 1):
-            offer(i, i + 2)
-        while queue:
-            _, left, stop, piece = heapq.heappop(queue)
-            right = after[left] if left >= 0 and made[left] != -1 else n
-            if right >= n or made[right] == -1 or after[right] != stop:
+        after = [*range(1, n + 1), -1]
+        before = list(range(-1, n))
+        find, push, pop = edges.get, heapq.heappush, heapq.heappop
+        heapq.heapify(pairs)
+        while pairs:
+            turn = pop(pairs)
+            left = (turn >> 5) & _PLACES
+            stop = left + (turn & 31)
+            right = after[left]
+            if after[right] != stop:
                 continue
-            made[left], made[right], after[left] = piece, -1, stop
-            if stop < n:
-                before[stop] = left
-                if after[stop] - left < wide:
-                    offer(left, after[stop])
-            if before[left] >= 0 and stop - before[left] < wide:
-                offer(before[left], stop)
-        ids, at = [], 0
+            after[left], after[right] = stop, n
+            before[stop] = left
+            if stop < n and (found := find((left << 32) + after[stop])) is not None:
+                push(pairs, found)
+            if left and (found := find((before[left] << 32) + stop)) is not None:
+                push(pairs, found)
+        ids, at, pieces = [], 0, self.pieces
         while at < n:
-            if made[at] is None:
-                ids += [self.bytes[b] for b in chunk[at].encode("utf-8", "replace")]
+            part = chunk[at:after[at]]
+            if part in pieces:
+                ids.append(pieces[part])
             else:
-                ids.append(made[at])
+                ids += [self.bytes[b] for b in part.encode("utf-8", "replace")]
             at = after[at]
         return ids
 
@@ -164,12 +164,16 @@ class PieceIds(dict):
         at, length, piece = self._edges(codes)
         self.names = names
         starts = np.cumsum([0, *(len(c) + 1 for c in chunks)])
-        cuts = np.searchsorted(at, starts).tolist()
-        wide = self.longest + 1
+        cuts = np.searchsorted(at, starts)
+        left = at - np.repeat(starts[:-1], np.diff(cuts))
+        turn = self.turn[piece] << 40 | left << 5 | length
+        two = length == 2
+        first, firsts = turn[two].tolist(), np.concatenate([[0], np.cumsum(two)])[cuts].tolist()
+        spans, turns, cuts = (left << 32 | left + length).tolist(), turn.tolist(), cuts.tolist()
         for k, chunk in enumerate(chunks):
             low, high = cuts[k], cuts[k + 1]
-            own = ((at[low:high] - starts[k]) * wide + length[low:high]).tolist()
-            self[chunk] = np.array(self._relax(chunk, dict(zip(own, piece[low:high].tolist()))), "<u2").tobytes()
+            ids = self._relax(chunk, dict(zip(spans[low:high], turns[low:high])), first[firsts[k]:firsts[k + 1]])
+            self[chunk] = struct.pack(f"<{len(ids)}H", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self) > _REMEMBERED:
