@@ -6,7 +6,7 @@ number of sequences, walked until it lands below that number, gives every sequen
 no table, no sort and no communication, and that can be inverted. Shard k holds the slots from k * rows on, a record
 of 2 * ``length`` bytes for each, so the place of a slot is arithmetic and reading can start at any slot.
 
-The texts are tokenised twice, once for their lengths and once for the ids, instead of storing the ids between.
+The ids are written once, in 16 bits each; the places of the documents follow from their lengths alone.
 """
 
 from __future__ import annotations
@@ -74,29 +74,21 @@ class Feistel:
         return self._walk(slots, self.keys[::-1], True)
 
 
-def stream_starts(ws: Workspace, docs: DataFrame, path: str, end: int) -> tuple[DataFrame, int]:
-    """((doc_id, text_hash, start, n), number of ids): where each document begins in the stream.
+def stream_starts(ws: Workspace, lengths: DataFrame) -> tuple[DataFrame, int]:
+    """((row, start), number of ids): where each row of ``lengths`` (doc_id, text_hash, row, n) begins in the stream.
 
-    The prefix sum runs in two levels: inside ranges of doc_id, and over the sums of the ranges. Repeated rows are one
-    row here, with room for all of them.
+    The prefix sum runs in two levels: inside ranges of (doc_id, text_hash, row), and over the sums of the ranges. Rows
+    have numbers of their own, so copies of a row are dealt over ranges like any others.
     """
-    lengths = token_rows(docs, lambda row, ids: [(*row, len(ids))], "doc_id long,text_hash long,n long", _columns(), path, end, ordinary=True)
-    groups = lengths.groupBy("doc_id", "text_hash").agg(F.min("n").alias("n"), F.count("*").alias("copies"))
+    keys = [F.col("doc_id").asc_nulls_last(), F.col("text_hash").asc_nulls_last(), F.col("row").asc()]
     parts = max(1, int(ws.spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = ws.table(groups.repartitionByRange(parts, F.col("doc_id").asc_nulls_last(), F.col("text_hash"))
-                      .withColumn("part", F.spark_partition_id()), "lengths")
-    room = F.col("n") * F.col("copies")
-    bases = (ranged.groupBy("part").agg(F.sum(room).alias("room"))
+    ranged = ws.table(lengths.repartitionByRange(parts, *keys).withColumn("part", F.spark_partition_id()), "lengths")
+    bases = (ranged.groupBy("part").agg(F.sum("n").alias("room"))
              .withColumn("base", F.sum("room").over(Window.orderBy("part")) - F.col("room")))
-    total = ranged.agg(F.sum(room)).first()[0] or 0
-    inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash")
-    starts = (ranged.withColumn("before", F.sum(room).over(inside) - room).join(bases.select("part", "base"), "part")
-              .select("doc_id", "text_hash", "n", (F.col("base") + F.col("before")).alias("start")))
-    return ws.table(starts, "starts"), total
-
-
-def _columns() -> dict:
-    return {"doc_id": F.col("doc_id").cast("long"), "text_hash": F.xxhash64(F.col("text").cast("string"))}
+    total = ranged.agg(F.sum("n")).first()[0] or 0
+    before = F.sum("n").over(Window.partitionBy("part").orderBy(*keys)) - F.col("n")
+    starts = ranged.withColumn("before", before).join(bases.select("part", "base"), "part")
+    return ws.table(starts.select("row", (F.col("base") + F.col("before")).alias("start")), "starts"), total
 
 
 def write_shards(docs: DataFrame, ws: Workspace, path: str, config: ShardConfig = ShardConfig()) -> tuple[DataFrame, int]:
@@ -105,16 +97,15 @@ def write_shards(docs: DataFrame, ws: Workspace, path: str, config: ShardConfig
     Null and empty texts are the end id alone; documents without an id come last, repeated rows one after the other. No
     rows, no shards. A shard is written by one task under a name of its attempt; only those in the manifest count.
     """
-    starts, total = stream_starts(ws, docs, path, config.end)
+    columns = {"doc_id": F.col("doc_id").cast("long"), "text_hash": F.xxhash64(F.col("text").cast("string"))}
+    made = token_rows(docs, lambda row, ids: [(*row, len(ids), ids.tobytes())], "doc_id long,text_hash long,n long,ids binary",
+                      columns, path, config.end, ordinary=True)
+    rows = ws.table(made.withColumn("row", F.monotonically_increasing_id()), "ids")
+    starts, total = stream_starts(ws, rows.select("doc_id", "text_hash", "row", "n"))
     count = -(-total // config.length)
     order = Feistel(count, config.key, config.rounds)
     folder = ws.folder("shards")
-
-    rows = token_rows(docs, lambda row, ids: [(*row, ids.tobytes())], "doc_id long,text_hash long,ids binary", _columns(), path, config.end, ordinary=True)
-    copy = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(0))) - 1
-    s = starts.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "n", "start")
-    located = (rows.join(s, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")))
-               .withColumn("start", F.col("start") + copy * F.col("n")).select("start", "ids"))
+    located = rows.select("row", "ids").join(starts, "row").select("start", "ids")
     target = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("at", pa.int64()), ("ids", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +139,7 @@ def write_shards(docs: DataFrame, ws: Workspace, path: str, config: ShardConfig
 
     pieces = located.mapInArrow(cut, "shard long, slot long, at long, ids binary")
     manifest = ws.table(pieces.groupBy("shard").applyInArrow(write, "shard long, path string, first_slot long, n_records long"), "manifest")
+    ws.drop(rows, starts)
     return manifest, total
 
 
