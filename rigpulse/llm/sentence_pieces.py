@@ -26,7 +26,7 @@ from rigpulse.llm.common import slices
 PIECES = "piece_bpe_32k.model"
 MARK = "▁"
 _CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-_REMEMBERED = 400_000
+_REMEMBERED = 1_000_000
 #: Characters of new chunks matched by one suffix array.
 _AT_ONCE = 1 << 18
 #: Mask of a place inside a chunk.
