@@ -16,14 +16,17 @@ def attach_trips(tele: DataFrame, trips: DataFrame, key: str = "excavator_id", t
                  trip_key: str = "object_uuid", slot_seconds: int = 3600) -> DataFrame:
     """Trips that are under way at each reading (``start_time <= ts < end_time``); readings without one are kept.
 
-    Both sides meet in time slots of the machine, so the join is an equi-join whatever the machine's size.
+    Both sides meet in time slots of the machine, so the join is an equi-join whatever the machine's size. A trip takes
+    only slots between the first and the last reading of its machine, so an open end costs no more than its readings.
     """
     def slot(c: str):
         return F.floor(F.unix_seconds(F.col(c)) / F.lit(slot_seconds)).cast("long")
 
-    spread = (trips.where(F.col("end_time") > F.col("start_time"))
-              .withColumn("_slot", F.explode(F.sequence(slot("start_time"), slot("end_time"))))
-              .withColumnRenamed(trip_key, "_object"))
+    span = tele.groupBy(F.col(key).alias("_object")).agg(F.min(slot(ts)).alias("_low"), F.max(slot(ts)).alias("_high"))
+    first, last = F.greatest(slot("start_time"), "_low"), F.least(slot("end_time"), "_high")
+    spread = (trips.where(F.col("end_time") > F.col("start_time")).withColumnRenamed(trip_key, "_object")
+              .join(span, "_object").withColumn("_slots", F.when(first <= last, F.sequence(first, last)))
+              .withColumn("_slot", F.explode("_slots")).drop("_low", "_high", "_slots"))
     rows = tele.withColumn("_at", slot(ts))
     on = ((F.col(key) == F.col("_object")) & (F.col("_at") == F.col("_slot"))
           & (F.col(ts) >= F.col("start_time")) & (F.col(ts) < F.col("end_time")))

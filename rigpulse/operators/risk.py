@@ -69,7 +69,7 @@ def top_factors(contributions: DataFrame, keys: Sequence[str], n: int = 6) -> Da
     pick = F.sort_array(F.collect_list(F.struct("rank", "feature", "contribution")))
     return top.groupBy(*keys).agg(pick.alias("_top")).select(
         *keys, F.transform("_top", lambda t: t["feature"]).alias("factors"),
-        F.transform("_top", lambda t: F.when(t["contribution"] > 0, "↑ риск").otherwise("↓ риск")).alias("directions"))
+        F.transform("_top", lambda t: F.when(t["contribution"] > 0, "raises").otherwise("lowers")).alias("directions"))
 
 
 def domain_hints(factors: DataFrame, column: str = "factors") -> DataFrame:
@@ -83,8 +83,8 @@ def domain_hints(factors: DataFrame, column: str = "factors") -> DataFrame:
 
 def alert_text(factors: DataFrame) -> DataFrame:
     parts = F.zip_with("factors", "directions", lambda f, d: F.concat(f, F.lit(" ("), d, F.lit(")")))
-    start = F.concat(F.lit("Ключевые факторы окна: "), F.array_join(parts, ", "))
-    more = F.when(F.col("hints") != "", F.concat(F.lit("\nИнженерная интерпретация: "), "hints", F.lit(".")))
+    start = F.concat(F.lit("Main factors: "), F.array_join(parts, ", "))
+    more = F.when(F.col("hints") != "", F.concat(F.lit("\nPossible reasons: "), "hints", F.lit(".")))
     return factors.withColumn("text", F.concat(start, F.coalesce(more, F.lit(""))))
 
 

@@ -48,9 +48,11 @@ def prune_columns(df: DataFrame, constant: bool = True) -> DataFrame:
 
 
 def clean_frame(df: DataFrame) -> DataFrame:
-    """Names stripped, sentinels nulled, empty rows and useless columns dropped."""
-    named = drop_unnamed(strip_names(df))
-    return prune_columns(null_sentinels(named).na.drop("all"))
+    """Names stripped, sentinels nulled, empty rows and useless columns dropped.
+
+    A row that holds nothing but a saved index is not empty: unnamed columns go only after the empty rows.
+    """
+    return drop_unnamed(prune_columns(null_sentinels(strip_names(df)).na.drop("all")))
 
 
 def feature_columns(df: DataFrame, excluded: set[str] | None = None) -> list[str]:

@@ -29,7 +29,8 @@ def read_reference(spark: SparkSession, path: str, schema: StructType) -> DataFr
 def read_telemetry(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
     """All ``*telemetry*.csv`` below ``root`` in one scan, with the file and the order inside it.
 
-    Files may have different headers, so columns are matched by name: absent ones become null.
+    Files may have different headers, so columns are matched by name: absent ones become null, and those that the schema
+    does not name stay as text.
     """
     reader = spark.read.options(header=True, pathGlobFilter="*telemetry*.csv", columnNameOfCorruptRecord="_bad")
     files = [r.path for r in reader.format("binaryFile").load(root).select("path").toLocalIterator()]
@@ -47,6 +48,7 @@ def _read_layout(spark: SparkSession, paths: list[str], names: Sequence[str], sc
     for field in schema:
         value = F.col(f"`{present[field.name]}`").try_cast(field.dataType) if field.name in present else F.lit(None)
         columns.append(value.cast(field.dataType).alias(field.name))
+    columns += [F.col(f"`{raw}`").alias(name) for name, raw in present.items() if name not in schema.names]
     return nan_to_null(text.select(
         *columns,
         F.col("_metadata.file_path").alias(FILE),

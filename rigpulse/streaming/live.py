@@ -22,7 +22,7 @@ def open_stream(spark: SparkSession, folder: str, schema: StructType, files: str
 
 def live_windows(stream: DataFrame, window: str = "720 minutes", late: str = "1 hour",
                  keys: Sequence[str] = TRUCK_KEYS) -> DataFrame:
-    """Window table of a stream; a window is emitted once ``late`` has passed after its end."""
+    """Window table of a stream; the state of a window goes once ``late`` has passed after its end."""
     error = F.col("rail_pressure") - F.col("rail_pressure_target")
     return (stream.withWatermark("timestamp", late)
             .groupBy(*keys, F.window("timestamp", window).alias("w"))
@@ -39,11 +39,23 @@ def live_alerts(windows: DataFrame, limits: DataFrame, column: str = "rail_press
     return windows.join(limits, key).where(F.col(column) > F.col("limit"))
 
 
-def drain(stream: DataFrame, path: str | None = None) -> DataFrame:
-    """Run a stream over all that is there now, into Parquet with exactly-once output, and read the result."""
-    spark = stream.sparkSession
-    base = path or f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    query = (stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-             .option("path", f"{base}/data").option("checkpointLocation", f"{base}/checkpoint").start())
+def drain(windows: DataFrame, keys: Sequence[str] = (*TRUCK_KEYS, "timestamp"), path: str | None = None) -> DataFrame:
+    """Run a stream of windows over all that is there now and read each window's last state, also of windows still open.
+
+    Each batch writes the windows it changed under its own number, so a repeated batch replaces itself. With the same
+    ``path`` a later run goes on where this one ended.
+    """
+    spark = windows.sparkSession
+    base = path or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/data/batch={number}")
+
+    query = (windows.writeStream.foreachBatch(keep).outputMode("update").trigger(availableNow=True)
+             .option("checkpointLocation", f"{base}/checkpoint").start())
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/data")
+    schema = StructType([*windows.schema.fields]).add("batch", "long")
+    states = spark.read.schema(schema).parquet(f"{base}/data")
+    rest = [c for c in windows.columns if c not in keys]
+    last = states.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return last.select(*[c if c in keys else F.col(f"_last.{c}").alias(c) for c in windows.columns])

@@ -375,7 +375,7 @@ cz AS (SELECT excavator_id, episode_id, position, feature, avg(abs((x - bmed) /
     bmed AS baseline_median, bmad AS baseline_mad FROM bs JOIN plong USING (excavator_id, episode_id, position) GROUP BY ALL),
 contrib AS (SELECT *, CAST(row_number() OVER (PARTITION BY excavator_id, episode_id ORDER BY round(score, 9) DESC, position) AS INTEGER) AS "rank",
     episode_median - baseline_median AS delta, (episode_median - baseline_median) / baseline_mad AS sigma,
-    CASE WHEN episode_median - baseline_median > 0 THEN 'вверх' ELSE 'вниз' END AS direction FROM cz)"""
+    CASE WHEN episode_median - baseline_median > 0 THEN 'up' ELSE 'down' END AS direction FROM cz)"""
 
 
 @query(f"WITH {_CONTRIB} SELECT * FROM contrib", "score episode_median baseline_median baseline_mad delta sigma")
@@ -415,8 +415,8 @@ def format_report(spark, d):
 
 
 @query(f"""WITH {TELE}, f AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN ['rail_diff_std', 'fuel_rate_mean'] WHEN 1 THEN ['rail_error_max'] ELSE ['temp_engine_max'] END AS factors FROM tele)
-SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'рост пульсаций давления в рампе (rail_diff); дрейф/рост расхода топлива на стационарных режимах (fuel_rate)'
-  WHEN 1 THEN 'увеличение ошибки управления давлением (rail_error)' ELSE '' END AS hints FROM f""")
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'rail pressure swings more between readings; steady work burns more fuel than it used to'
+  WHEN 1 THEN 'rail pressure follows its set point less closely' ELSE '' END AS hints FROM f""")
 def domain_hints(spark, d):
     from rigpulse.operators.risk import domain_hints as hints
     e = F.col("event_id") % 3

@@ -61,11 +61,12 @@ def test_component_filter(spark):
 
 
 def test_pruning(spark):
-    df = spark.createDataFrame([(1, None, 5, -1000000.0, 7), (2, None, 5, 2.0, 8), (3, None, 5, 3.0, 9)],
+    df = spark.createDataFrame([(1, None, 5, -1000000.0, 7), (2, None, 5, 2.0, 8), (3, None, 5, 3.0, 9),
+                                (None, None, None, -1000000.0, 10), (None, None, None, None, None)],
                                "` a ` int, empty double, same int, b double, `Unnamed: 0` int")
     made = shaping.clean_frame(df)
     assert made.columns == ["a", "b"]
-    assert column(made, "b", "a") == [None, 2.0, 3.0]
+    assert column(made, "b", "a") == [None, None, 2.0, 3.0]
 
 
 def test_times(spark):
@@ -105,10 +106,11 @@ def test_truck_ingest(spark, tmp_path):
         "mdm_object_id,mdm_object_name, create_dt ,load_engine,pres_turbo\n"
         "1,11,2024-01-01 00:00:00,50,3\n1,11,2024-01-01 00:00:00,60,3\n2,12,bad,70,3\n2,12,2024-01-02 00:00:00,-1000000,3\n"
         "3,13,2024-01-04 00:00:00,70,3\n")
-    (folder / "telemetry_2.csv").write_text("create_dt,mdm_object_id,mdm_object_name,inst_fuel\n2024-01-01 00:00:00,1,11,9.5\n2024-01-03 00:00:00,1,11,NaN\n")
+    (folder / "telemetry_2.csv").write_text("create_dt,mdm_object_id,mdm_object_name,inst_fuel, hydraulic_temp\n2024-01-01 00:00:00,1,11,9.5,71\n2024-01-03 00:00:00,1,11,NaN,x\n")
     (folder / "notes.csv").write_text("x\n1\n")
     raw = read_telemetry(spark, str(folder), schemas.TRUCK_RAW)
     assert raw.select(FILE).distinct().count() == 2 and raw.count() == 7
+    assert sorted(r[0] or "" for r in raw.select("hydraulic_temp").collect()) == ["", "", "", "", "", "71", "x"]
     made = ingest.truck_telemetry(raw).orderBy("timestamp", "engine_load").collect()
     assert [(r["asset_id"], r["engine_load"]) for r in made] == [(1, None), (1, 50.0), (2, None), (1, None), (3, 70.0)]
     assert "boost_pressure" not in made[0].asDict() and "fuel_rate" not in made[0].asDict()
@@ -182,4 +184,4 @@ def test_baseline_levels(spark):
     found = {(r["episode_id"], r["level"]): r["n"] for r in base.groupBy("episode_id", "level").agg(F.count("*").alias("n")).collect()}
     assert found == {(1, 3): 9, (2, 1): 4, (3, 2): 6}
     top = episode_contributions(points, episodes, features=["v"]).where("episode_id = 2").first()
-    assert top["baseline_median"] == 1.5 and top["episode_median"] == 4.0 and top["direction"] == "вверх"
+    assert top["baseline_median"] == 1.5 and top["episode_median"] == 4.0 and top["direction"] == "up"
