@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 from rigpulse.llm.common import slices
 
 WORD_BPE = "word_bpe_49k.json"
-#: Distinct words whose ids a Python worker remembers.
-_REMEMBERED = 500_000
+#: Distinct words whose ids a Python worker remembers, and the longest of them in bytes.
+_REMEMBERED, _LONGEST = 1_000_000, 256
 _ENCODERS: dict[tuple[str, bool], WordIds] = {}
-_SENTENCE_MARKS = re.compile(rb"([A-Za-z])([.,!?;:]+)(?=[\x20\x09-\x0d])")
-_PLAIN = re.compile(rb"[a-z]+")
+#: Marks that may close a word of letters, and words of letters from the first 256 code points.
+_MARKS = b".,!?;:#$%&*"
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: The character by which a byte-level model writes a byte: its own if it is visible, else the next one above 255.
+_BYTE_CHARS = dict(zip((b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)), range(256, 512)))
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,9 +35,9 @@ class WordIds(dict):
     r"""Bytes of a word to its ids as little-endian unsigned 16-bit numbers.
 
     The tokenizer lowers case, drops white space and splits at it, and parts letters from marks, so the ids of a text
-    are those of its words in turn. Texts are cut at ASCII white space and before the marks that close an ASCII word;
-    whatever else a word holds is left to the tokenizer. Words of ASCII letters need only its merges. If ``ordinary``,
-    the names of special tokens in a text are text like any other.
+    are those of its words in turn, and those of letters closed by marks are the ids of both. Texts are cut at ASCII
+    white space. Words of plain or Latin letters need only the tokenizer's merges; whatever else a word holds is left to
+    the tokenizer. If ``ordinary``, the names of special tokens in a text are text like any other.
     """
 
     def __init__(self, path: str, ordinary: bool = False):
@@ -51,21 +54,26 @@ class WordIds(dict):
         raw = text.encode("utf-8", "replace")
         if b"<|" not in raw:  # names of special tokens keep their case
             raw = raw.lower()
-        words = _SENTENCE_MARKS.sub(rb"\1 \2", raw).split()
         if len(self) > _REMEMBERED:
             self.clear()
-        other = []
-        for word in [w for w in set(words) if w not in self]:
-            if _PLAIN.fullmatch(word):
-                found = self.tokenizer.model.tokenize(word.decode())
-                self[word] = struct.pack(f"<{len(found)}H", *(t.id for t in found))
-            else:
-                other.append(word)
-        for at in range(0, len(other), 4096):
-            some = other[at:at + 4096]
-            found = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
-            self.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(some, found))
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.__getitem__, raw.split()))
+
+    def __missing__(self, word: bytes) -> bytes:
+        stem = word.rstrip(_MARKS)
+        if not _LETTERS.fullmatch(stem):
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+            found = struct.pack(f"<{len(ids)}H", *ids)
+        elif len(stem) < len(word):
+            found = self[stem] + self[word[len(stem):]]
+        else:
+            chars = word.decode()
+            if not word.isascii():
+                chars = chars.lower().encode().decode("latin-1").translate(_BYTE_CHARS)
+            parts = self.tokenizer.model.tokenize(chars)
+            found = struct.pack(f"<{len(parts)}H", *[t.id for t in parts])
+        if len(word) <= _LONGEST:
+            self[word] = found
+        return found
 
 
 def encoder(path: str, ordinary: bool = False) -> WordIds:
