@@ -32,9 +32,9 @@ class Workspace:
         self.count += 1
         return f"{self.root}/{self.count}-{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         path = self.folder(name)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         made = self.spark.read.schema(df.schema).parquet(path)
         made._stored_at = path
         return made

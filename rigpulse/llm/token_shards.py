@@ -6,7 +6,9 @@ number of sequences, walked until it lands below that number, gives every sequen
 no table, no sort and no communication, and that can be inverted. Shard k holds the slots from k * rows on, a record
 of 2 * ``length`` bytes for each, so the place of a slot is arithmetic and reading can start at any slot.
 
-The ids are written once, in 16 bits each; the places of the documents follow from their lengths alone.
+The ids are written once, in 16 bits each; the places of the documents follow from their lengths alone. Places go to
+files of one block of rows each, which the tasks that read those rows of ids open, so only lengths are shuffled by row
+and the ids only once, by shard.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rigpulse.llm.common import Workspace
+from rigpulse.llm.common import Workspace, slices
 from rigpulse.llm.tokens import token_rows
 from rigpulse.llm.warc import place
 
 ID_BYTES = 2
+#: Rows of a file of places: 2 to this power.
+_BLOCK_BITS = 16
 
 
 @dataclass(frozen=True)
@@ -91,6 +95,28 @@ def stream_starts(ws: Workspace, lengths: DataFrame) -> tuple[DataFrame, int]:
     return ws.table(starts.select("row", (F.col("base") + F.col("before")).alias("start")), "starts"), total
 
 
+def write_starts(starts: DataFrame, ws: Workspace) -> str:
+    """Folder with a file for each block of rows that holds their places as 64-bit numbers in order of row.
+
+    A file appears under its name when it is complete; attempts of one task write the same bytes.
+    """
+    folder = ws.folder("places")
+
+    def write(table: pa.Table) -> pa.Table:
+        block = table["block"][0].as_py()
+        system, base = place(folder)
+        system.create_dir(base, recursive=True)
+        name = f"{base}/{block}-{uuid.uuid4().hex}"
+        with system.open_output_stream(name, compression=None) as out:
+            out.write(table.sort_by("row")["start"].to_numpy().astype("<i8").tobytes())
+        system.move(name, f"{base}/{block}.bin")
+        return table.select(["block"]).slice(0, 1)
+
+    blocks = starts.withColumn("block", F.shiftright("row", _BLOCK_BITS))
+    blocks.groupBy("block").applyInArrow(write, "block long").write.format("noop").mode("overwrite").save()
+    return folder
+
+
 def write_shards(docs: DataFrame, ws: Workspace, path: str, config: ShardConfig = ShardConfig()) -> tuple[DataFrame, int]:
     """(manifest (shard, path, first_slot, n_records), number of ids) of the shards written for (doc_id, text).
 
@@ -100,26 +126,33 @@ def write_shards(docs: DataFrame, ws: Workspace, path: str, config: ShardConfig
     columns = {"doc_id": F.col("doc_id").cast("long"), "text_hash": F.xxhash64(F.col("text").cast("string"))}
     made = token_rows(docs, lambda row, ids: [(*row, len(ids), ids.tobytes())], "doc_id long,text_hash long,n long,ids binary",
                       columns, path, config.end, ordinary=True)
-    rows = ws.table(made.withColumn("row", F.monotonically_increasing_id()), "ids")
+    rows = ws.table(made.withColumn("row", F.monotonically_increasing_id()), "ids", "zstd")
     starts, total = stream_starts(ws, rows.select("doc_id", "text_hash", "row", "n"))
     count = -(-total // config.length)
     order = Feistel(count, config.key, config.rounds)
-    folder = ws.folder("shards")
-    located = rows.select("row", "ids").join(starts, "row").select("start", "ids")
+    places, folder = write_starts(starts, ws), ws.folder("shards")
     target = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("at", pa.int64()), ("ids", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = ids.as_py()
+        system, base = place(places)
+        block = begins = None
+        for batch in slices(batches, "ids", 4 << 20):
+            pieces, sequences, offsets = [], [], []
+            for row, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if row >> _BLOCK_BITS != block:
+                    block = row >> _BLOCK_BITS
+                    with system.open_input_file(f"{base}/{block}.bin") as file:
+                        begins = np.frombuffer(file.read(), "<i8")
+                start = int(begins[row & (1 << _BLOCK_BITS) - 1])
                 stop = start + len(ids) // ID_BYTES
-                sequence = np.arange(start // config.length, (stop - 1) // config.length + 1)
-                low = np.maximum(sequence * config.length, start)
-                high = np.minimum((sequence + 1) * config.length, stop)
-                slot = order.slots(sequence)
-                found = [ids[ID_BYTES * (a - start):ID_BYTES * (b - start)] for a, b in zip(low.tolist(), high.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(slot // config.rows), pa.array(slot),
-                                                  pa.array(low % config.length), pa.array(found, pa.binary())], schema=target)
+                for sequence in range(start // config.length, (stop - 1) // config.length + 1):
+                    low, high = max(sequence * config.length, start), min((sequence + 1) * config.length, stop)
+                    pieces.append(ids[ID_BYTES * (low - start):ID_BYTES * (high - start)])
+                    sequences.append(sequence)
+                    offsets.append(low % config.length)
+            slot = order.slots(np.array(sequences, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(slot // config.rows), pa.array(slot), pa.array(offsets, pa.int64()),
+                                              pa.array(pieces, pa.binary())], schema=target)
 
     def write(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
@@ -137,7 +170,7 @@ def write_shards(docs: DataFrame, ws: Workspace, path: str, config: ShardConfig
             out.write(records.tobytes())
         return pa.table({"shard": [shard], "path": [f"{folder}/{name}"], "first_slot": [first], "n_records": [len(records)]})
 
-    pieces = located.mapInArrow(cut, "shard long, slot long, at long, ids binary")
+    pieces = rows.select("row", "ids").mapInArrow(cut, "shard long, slot long, at long, ids binary")
     manifest = ws.table(pieces.groupBy("shard").applyInArrow(write, "shard long, path string, first_slot long, n_records long"), "manifest")
     ws.drop(rows, starts)
     return manifest, total
@@ -169,8 +202,9 @@ def read_shards(manifest: DataFrame, total: int, config: ShardConfig = ShardConf
         for batch in batches:
             for row in batch.to_pylist():
                 made = []
+                found = order.sequences(np.arange(row["first_slot"], row["first_slot"] + row["n_records"])).tolist()
                 for slot, ids in read_slots(row["path"], row["first_slot"], row["n_records"], config, start):
-                    sequence = int(order.sequences(np.array([slot]))[0])
+                    sequence = found[slot - row["first_slot"]]
                     n = min(config.length, total - sequence * config.length)
                     made.append((slot, sequence, row["shard"], (slot - row["first_slot"]) * config.length * ID_BYTES, n,
                                  zlib.crc32(ids[:n].astype("<u4").tobytes())))
