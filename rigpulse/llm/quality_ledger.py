@@ -120,15 +120,17 @@ def verdict_sql(version: int = CURRENT) -> str:
     words = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
     lines = r"list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))"
     bits = " + ".join(f"CASE WHEN {rule.failed} THEN {1 << k} ELSE 0 END" for k, rule in enumerate(RULES))
-    return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {words} AS words,
-  {lines} AS lines FROM documents),
-w AS (SELECT r, unnest(generate_series(1, len(words) - 2)) AS i, words FROM d),
-g AS (SELECT r, i, count(*) OVER (PARTITION BY r, words[i], words[i + 1], words[i + 2]) AS c FROM w),
+    return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {lines} AS lines FROM documents),
+l AS (SELECT r, {words} AS words FROM d),
+u AS (SELECT r, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM l),
+w AS (SELECT r, i, a, lead(a) OVER t AS b, lead(a, 2) OVER t AS c FROM u WINDOW t AS (PARTITION BY r ORDER BY i)),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS c FROM w WHERE c IS NOT NULL),
 p AS (SELECT DISTINCT r, unnest([i, i + 1, i + 2]) AS i FROM g WHERE c > 1),
 n AS (SELECT r, count(*) AS n FROM p GROUP BY r),
-m AS (SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+k AS (SELECT r, len(words) AS n_words FROM l),
+m AS (SELECT doc_id, n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
-  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n.n, 0) AS n_repeat_words FROM d LEFT JOIN n USING (r)),
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n.n, 0) AS n_repeat_words FROM d JOIN k USING (r) LEFT JOIN n USING (r)),
 b AS (SELECT *, {bits} AS bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & {BASE_MASK} <> 0 AS base_failed,
   bits & {POLICIES[version] | BASE_MASK} = 0 AS kept, n_lines, CAST(bits AS BIGINT) AS failure_bits,

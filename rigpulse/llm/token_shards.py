@@ -8,7 +8,8 @@ of 2 * ``length`` bytes for each, so the place of a slot is arithmetic and readi
 
 The ids are written once, in 16 bits each; the places of the documents follow from their lengths alone. Places go to
 files of one block of rows each, which the tasks that read those rows of ids open, so only lengths are shuffled by row
-and the ids only once, by shard.
+and the ids only once, by shard. What a batch sends to one shard travels as one row, its ids compressed with the low and
+the high bytes apart. A very long text is cut into the records it covers and never held as numbers of a row each.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql.window import Window
 from rigpulse.llm.common import Workspace, slices
 from rigpulse.llm.tokens import token_rows
 from rigpulse.llm.warc import place
+from rigpulse.session import drop_folder
 
 ID_BYTES = 2
 #: Rows of a file of places: 2 to this power.
@@ -92,7 +94,9 @@ def stream_starts(ws: Workspace, lengths: DataFrame) -> tuple[DataFrame, int]:
     total = ranged.agg(F.sum("n")).first()[0] or 0
     before = F.sum("n").over(Window.partitionBy("part").orderBy(*keys)) - F.col("n")
     starts = ranged.withColumn("before", before).join(bases.select("part", "base"), "part")
-    return ws.table(starts.select("row", (F.col("base") + F.col("before")).alias("start")), "starts"), total
+    made = ws.table(starts.select("row", (F.col("base") + F.col("before")).alias("start")), "starts")
+    ws.drop(ranged)
+    return made, total
 
 
 def write_starts(starts: DataFrame, ws: Workspace) -> str:
@@ -117,6 +121,16 @@ def write_starts(starts: DataFrame, ws: Workspace) -> str:
     return folder
 
 
+def squeeze(ids: np.ndarray) -> bytes:
+    """Unsigned 16-bit ids, low bytes before high bytes, compressed."""
+    return pa.compress(ids.view("u1").reshape(-1, ID_BYTES).T.tobytes(), "zstd", asbytes=True)
+
+
+def unsqueeze(packed: bytes, count: int) -> np.ndarray:
+    raw = pa.decompress(packed, ID_BYTES * count, "zstd", asbytes=True)
+    return np.frombuffer(raw, "u1").reshape(ID_BYTES, -1).T.reshape(-1).view("<u2")
+
+
 def write_shards(docs: DataFrame, ws: Workspace, path: str, config: ShardConfig = ShardConfig()) -> tuple[DataFrame, int]:
     """(manifest (shard, path, first_slot, n_records), number of ids) of the shards written for (doc_id, text).
 
@@ -131,7 +145,8 @@ def write_shards(docs: DataFrame, ws: Workspace, path: str, config: ShardConfig
     count = -(-total // config.length)
     order = Feistel(count, config.key, config.rounds)
     places, folder = write_starts(starts, ws), ws.folder("shards")
-    target = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("at", pa.int64()), ("ids", pa.binary())])
+    ws.drop(starts)
+    target = pa.schema([("shard", pa.int64()), ("at", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("ids", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = place(places)
@@ -144,25 +159,32 @@ def write_shards(docs: DataFrame, ws: Workspace, path: str, config: ShardConfig
                     with system.open_input_file(f"{base}/{block}.bin") as file:
                         begins = np.frombuffer(file.read(), "<i8")
                 start = int(begins[row & (1 << _BLOCK_BITS) - 1])
-                stop = start + len(ids) // ID_BYTES
+                ids = np.frombuffer(ids, "<u2")
+                stop = start + len(ids)
                 for sequence in range(start // config.length, (stop - 1) // config.length + 1):
                     low, high = max(sequence * config.length, start), min((sequence + 1) * config.length, stop)
-                    pieces.append(ids[ID_BYTES * (low - start):ID_BYTES * (high - start)])
+                    pieces.append(ids[low - start:high - start])
                     sequences.append(sequence)
                     offsets.append(low % config.length)
             slot = order.slots(np.array(sequences, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(slot // config.rows), pa.array(slot), pa.array(offsets, pa.int64()),
-                                              pa.array(pieces, pa.binary())], schema=target)
+            shard, at = slot // config.rows, slot % config.rows * config.length + np.array(offsets, np.int64)
+            turn = np.argsort(at + shard * (config.rows * config.length))
+            rows = []
+            for group in np.split(turn, np.flatnonzero(np.diff(shard[turn])) + 1):
+                held = [pieces[k] for k in group]
+                rows.append((shard[group[0]], at[group], [len(p) for p in held], squeeze(np.concatenate(held))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind.type) for c, kind in zip(zip(*rows), target)], schema=target)
 
     def write(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         first = shard * config.rows
         records = np.full((min(config.rows, count - first), config.length), config.pad, "<u2")
         flat = records.reshape(-1)
-        for slot, at, ids in zip(table["slot"].to_pylist(), table["at"].to_pylist(), table["ids"]):
-            part = np.frombuffer(ids.as_py(), "<u2")
-            begin = (slot - first) * config.length + at
-            flat[begin:begin + len(part)] = part
+        for places, sizes, packed in zip(table["at"].to_pylist(), table["n"].to_pylist(), table["ids"]):
+            ids, done = unsqueeze(packed.as_py(), sum(sizes)), 0
+            for begin, size in zip(places, sizes):
+                flat[begin:begin + size] = ids[done:done + size]
+                done += size
         system, base = place(folder)
         system.create_dir(base, recursive=True)
         name = f"{shard:08d}-{uuid.uuid4().hex}.bin"
@@ -170,9 +192,10 @@ def write_shards(docs: DataFrame, ws: Workspace, path: str, config: ShardConfig
             out.write(records.tobytes())
         return pa.table({"shard": [shard], "path": [f"{folder}/{name}"], "first_slot": [first], "n_records": [len(records)]})
 
-    pieces = rows.select("row", "ids").mapInArrow(cut, "shard long, slot long, at long, ids binary")
+    pieces = rows.select("row", "ids").mapInArrow(cut, "shard long, at array<long>, n array<int>, ids binary")
     manifest = ws.table(pieces.groupBy("shard").applyInArrow(write, "shard long, path string, first_slot long, n_records long"), "manifest")
-    ws.drop(rows, starts)
+    ws.drop(rows)
+    drop_folder(ws.spark, places)
     return manifest, total
 
 

@@ -17,7 +17,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_words long"
 def test_ledger_is_its_sql(spark):
     docs = spark.createDataFrame(ROWS, SCHEMA)
     got = quality_ledger.apply_policy(quality_ledger.ledger(docs))
-    con = duckdb.connect()
+    con = duckdb.connect(config={"memory_limit": "2GB"})
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in ROWS])
     names = [c for c in got.columns]
