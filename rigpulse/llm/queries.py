@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rigpulse.llm import (
-    embedding_dedup, language_id, packing, quality_ledger, repeats, sentence_pieces, simhash, token_counts, token_shards,
-    tokens, warc)
+    decontamination, embedding_dedup, importance, language_id, packing, quality_ledger, repeats, sentence_pieces, simhash,
+    source_divergence, token_counts, token_shards, tokens, warc)
 from rigpulse.llm.common import Workspace
 from rigpulse.session import ship_package, use_local_folder, use_utc
 
@@ -111,3 +111,30 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.piece_digests(table(spark, sf_dir, "documents"), tokens.tokenizer_path(sentence_pieces.PIECES))
+
+
+@query
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.benchmark_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    named = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", named), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+ORACLES["op11_benchmark_decontamination"] = decontamination.passages_sql()
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_source_divergence"] = source_divergence.audit_sql()
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op13_importance_resampling"] = importance.draw_sql()
