@@ -3,8 +3,10 @@ r"""How the sources of a language differ in their words: exact smoothed shares,
 Terms are runs of ``[^\x00-\x40\x5B-\x60\x7B-\x7F]`` with A-Z in lower case. CountVectorizer learns the vocabulary (all terms in
 at least ``min_docs`` documents, no other limit) and turns each document into an exact sparse vector. A term carries its
 language in front, so one fit serves any number of languages and every language still has a vocabulary of its own. As a
-fit brings its vocabulary to the driver, terms are dealt by hash into so many blocks that a block's distinct terms stay below
-``vocabulary_block``, with one fit for each; blocks share no term, so their counts are simply put together.
+fit brings its vocabulary to the driver, terms are dealt by hash into so many blocks that a block's vocabulary stays below
+``vocabulary_block``, with one fit for each; blocks share no term, so their counts are simply put together. How many terms
+will be kept is told from those of one hash class in ``_CLASSES``, each counted over all documents; a block that turns out
+larger fails the job. One block is the rule.
 
 The vectors are summed by (language, source, term) with map-side combine. The sums stay sparse: the distance of two sources
 is that of two empty sources, plus what each source's own terms change against an empty partner (summed over distinct
@@ -31,6 +33,8 @@ LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 els
 _MARK = "\0"
 #: Share of an event in billionths.
 _SCALE = 1_000_000_000
+#: Hash classes of terms, one of which foretells the size of the vocabulary.
+_CLASSES = 64
 
 
 @dataclass(frozen=True)
@@ -38,7 +42,7 @@ class AuditConfig:
     min_docs: int = 30
     smoothing: int = 5
     top_terms: int = 50
-    #: Distinct terms of one fit: what the driver may hold and broadcast.
+    #: Kept terms of one fit: what the driver may hold and broadcast.
     vocabulary_block: int = 1_000_000
 
 
@@ -60,11 +64,18 @@ def term_lists(docs: DataFrame, lang: str = "lang", source: str = "source", text
     return chosen.mapInArrow(run, "lang string, source string, terms array<string>")
 
 
+def block_count(rows: DataFrame, config: AuditConfig) -> int:
+    """Blocks of terms so that no vocabulary is expected above its bound, by four deviations and some."""
+    one = F.array_distinct(F.filter("terms", lambda t: F.pmod(F.xxhash64(t, F.lit(1)), F.lit(_CLASSES)) == 0))
+    seen = rows.select(F.explode(one).alias("term")).groupBy("term").agg(F.count("*").alias("docs"))
+    kept = seen.where(F.col("docs") >= config.min_docs).count()
+    return max(1, math.ceil(1.25 * _CLASSES * (kept + 4 * math.sqrt(kept) + 8) / config.vocabulary_block))
+
+
 def kept_counts(ws: Workspace, rows: DataFrame, config: AuditConfig) -> tuple[DataFrame, DataFrame]:
     """((lang, source, term, n > 0), (lang, v)): sums of the documents' vectors, and the sizes of the vocabularies."""
     spark = rows.sparkSession
-    distinct = rows.select(F.explode("terms").alias("term")).agg(F.approx_count_distinct("term")).first()[0]
-    blocks = max(1, math.ceil(1.25 * distinct / config.vocabulary_block))
+    blocks = block_count(rows, config)
     sums = sizes = None
     for number in range(blocks):
         mine = F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(blocks)) == number) if blocks > 1 else F.col("terms")
