@@ -66,14 +66,18 @@ def term_lists(docs: DataFrame, lang: str = "lang", source: str = "source", text
 
 def block_count(rows: DataFrame, config: AuditConfig) -> int:
     """Blocks of terms so that no vocabulary is expected above its bound, by four deviations and some."""
-    one = F.array_distinct(F.filter("terms", lambda t: F.pmod(F.xxhash64(t, F.lit(1)), F.lit(_CLASSES)) == 0))
-    seen = rows.select(F.explode(one).alias("term")).groupBy("term").agg(F.count("*").alias("docs"))
+    cells = rows.select(F.monotonically_increasing_id().alias("row"), F.explode("terms").alias("term"))
+    one = cells.where(F.pmod(F.xxhash64("term", F.lit(1)), F.lit(_CLASSES)) == 0).distinct()
+    seen = one.groupBy("term").agg(F.count("*").alias("docs"))
     kept = seen.where(F.col("docs") >= config.min_docs).count()
     return max(1, math.ceil(1.25 * _CLASSES * (kept + 4 * math.sqrt(kept) + 8) / config.vocabulary_block))
 
 
-def kept_counts(ws: Workspace, rows: DataFrame, config: AuditConfig) -> tuple[DataFrame, DataFrame]:
-    """((lang, source, term, n > 0), (lang, v)): sums of the documents' vectors, and the sizes of the vocabularies."""
+def kept_counts(ws: Workspace, rows: DataFrame, groups: DataFrame, config: AuditConfig) -> tuple[DataFrame, DataFrame]:
+    """((lang, source, term, n > 0), (lang, v)): sums of the documents' vectors, and the sizes of the vocabularies.
+
+    ``groups`` numbers the (lang, source), so that the sums are made under short keys.
+    """
     spark = rows.sparkSession
     blocks = block_count(rows, config)
     sums = sizes = None
@@ -89,11 +93,11 @@ def kept_counts(ws: Workspace, rows: DataFrame, config: AuditConfig) -> tuple[Da
         vocabulary = spark.createDataFrame([(k, *name.rpartition(_MARK)[::2]) for k, name in enumerate(model.vocabulary)
                                             if name != _MARK], "index int, lang string, term string")
         vector = F.unwrap_udt("vector")
-        cells = model.transform(part).select("lang", "source", F.explode(F.arrays_zip(
-            vector["indices"].alias("index"), vector["values"].alias("n"))).alias("cell"))
-        totals = (cells.select("lang", "source", F.col("cell.index").alias("index"), F.col("cell.n").cast("long").alias("n"))
-                  .groupBy("lang", "source", "index").agg(F.sum("n").alias("n")))
-        named = ws.table(totals.join(vocabulary.drop("lang"), "index").select("lang", "source", "term", "n"), "sums")
+        numbered = part.join(groups, ["lang", "source"]).select("group", "terms")
+        cells = model.transform(numbered).select("group", vector["values"].alias("values"), F.posexplode(vector["indices"]).alias("at", "index"))
+        totals = (cells.select("group", "index", F.col("values")[F.col("at")].cast("long").alias("n"))
+                  .groupBy("group", "index").agg(F.sum("n").alias("n")))
+        named = ws.table(totals.join(vocabulary.drop("lang"), "index").join(groups, "group").select("lang", "source", "term", "n"), "sums")
         held = vocabulary.groupBy("lang").agg(F.count("*").alias("v"))
         sums = named if sums is None else sums.union(named)
         sizes = held if sizes is None else sizes.union(held)
@@ -119,8 +123,8 @@ def audit(docs: DataFrame, config: AuditConfig = AuditConfig(), lang: str = "lan
     """
     ws = Workspace(docs.sparkSession, "audit")
     rows = ws.table(term_lists(docs, lang, source, text), "terms", "zstd")
-    groups = ws.table(rows.groupBy("lang", "source").agg(F.count("*").alias("docs")).select("lang", "source"), "groups")
-    counts, sizes = kept_counts(ws, rows, config)
+    groups = ws.table(rows.select("lang", "source").distinct().withColumn("group", F.monotonically_increasing_id()), "groups")
+    counts, sizes = kept_counts(ws, rows, groups, config)
     ws.drop(rows)
     k = config.smoothing
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("used"))
