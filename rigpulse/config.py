@@ -31,21 +31,21 @@ class EpisodeConfig:
 
 @dataclass(frozen=True)
 class ForestConfig:
-    """Isolation forest. A tree draws ``sample_fraction`` of its pool (or ``sample_rows``), at most ``sample_cap``.
+    """Isolation forest. A tree draws ``sample_fraction`` of its group, or ``sample_rows``.
 
-    One task grows ``trees_per_task`` trees from a pool of about ``pool_rows`` hash-sampled rows, so
-    its memory is bounded for a group of any size; smaller groups are their own pool.
+    ``task_rows`` bounds the rows that one task grows trees from, ``trees_per_task`` the trees of a task, ``score_rows``
+    the rows of a task that scores, ``score_nodes`` the nodes of the tree pieces it meets (16 bytes each).
     """
 
     trees: int = 300
     sample_fraction: float = 0.3
     sample_rows: int | None = None
-    sample_cap: int = 8192
-    pool_rows: int = 65536
+    task_rows: int = 131_072
     trees_per_task: int = 30
     contamination: float = 0.01
     seed: int = 42
     score_rows: int = 100_000
+    score_nodes: int = 8_000_000
 
 
 @dataclass(frozen=True)
