@@ -8,7 +8,7 @@ fit brings its vocabulary to the driver, terms are dealt by hash into so many bl
 will be kept is told from those of one hash class in ``_CLASSES``, each counted over all documents; a block that turns out
 larger fails the job. One block is the rule.
 
-The vectors are summed by (language, source, term), first inside the tasks. The sums stay sparse: the distance of two sources
+The vectors are summed by (language, source, term), with map-side combine. The sums stay sparse: the distance of two sources
 is that of two empty sources, plus what each source's own terms change against an empty partner (summed over distinct
 shares), plus a correction for the terms that both have (an equality join on the term).
 """
@@ -36,8 +36,6 @@ _MARK = "\0"
 _SCALE = 1_000_000_000
 #: Hash classes of terms, one of which foretells the size of the vocabulary.
 _CLASSES = 64
-#: Cells of vectors that a task adds up at a time, 20 bytes each.
-_CELLS = 3_000_000
 
 
 @dataclass(frozen=True)
@@ -103,8 +101,9 @@ def kept_counts(ws: Workspace, rows: DataFrame, groups: DataFrame, config: Audit
                                             if name != _MARK], "index int, lang string, term string")
         vector = F.unwrap_udt("vector")
         numbered = part.join(groups, ["lang", "source"]).select("group", "terms")
-        vectors = model.transform(numbered).select("group", vector["indices"].alias("indices"), vector["values"].alias("values"))
-        totals = vectors.mapInArrow(vector_sums, "group long, index int, n long").groupBy("group", "index").agg(F.sum("n").alias("n"))
+        cells = model.transform(numbered).select("group", vector["values"].alias("values"), F.posexplode(vector["indices"]).alias("at", "index"))
+        totals = (cells.select("group", "index", F.col("values")[F.col("at")].cast("long").alias("n"))
+                  .groupBy("group", "index").agg(F.sum("n").alias("n")))
         named = ws.table(totals.join(vocabulary.drop("lang"), "index").join(groups, "group").select("lang", "source", "term", "n"), "sums")
         held = vocabulary.groupBy("lang").agg(F.count("*").alias("v"))
         sums = named if sums is None else sums.union(named)
@@ -112,37 +111,6 @@ def kept_counts(ws: Workspace, rows: DataFrame, groups: DataFrame, config: Audit
     return sums, ws.table(sizes.groupBy("lang").agg(F.sum("v").alias("v")), "sizes")
 
 
-def vector_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(group, index, n): sums of sparse vectors by group, as far as one task can add them up in bounded memory."""
-    held, size = [], 0
-
-    def summed() -> tuple[np.ndarray, ...]:
-        group, index, n = (np.concatenate(c) for c in zip(*held))
-        order = np.lexsort((index, group))
-        group, index, n = group[order], index[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (index[1:] != index[:-1])]))
-        return group[first], index[first], np.add.reduceat(n, first)
-
-    def rows(sums: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in sums], names=["group", "index", "n"])
-
-    for batch in batches:
-        indices, values = batch.column(1), batch.column(2)
-        sizes = np.diff(indices.offsets.to_numpy())
-        group = np.repeat(batch.column(0).to_numpy(), sizes)
-        if len(group):
-            held.append((group, indices.flatten().to_numpy(), values.flatten().to_numpy().astype(np.int64)))
-            size += len(group)
-        if size > _CELLS:
-            held = [summed()]
-            size = len(held[0][0])
-            if size > _CELLS // 2:
-                yield rows(held[0])
-                held, size = [], 0
-    if held:
-        yield rows(summed())
-
-
 def share(n: Column, total: Column, v: Column, smoothing: int) -> Column:
     """Smoothed share in billionths, rounded down, plus 1; the quotient of whole numbers is exact."""
     over = F.lit(_SCALE).cast("decimal(10,0)") * (n + smoothing).cast("decimal(20,0)")
