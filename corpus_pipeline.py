@@ -53,7 +53,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality_rules", quality), ("language_id", language), ("simhash_near_dedup", near_dedup),
           ("suffix_array_dedup", passages), ("packing", pack)]
 
-#: The packing stage needs a tokenizer, which SQL has not; the tests hold the pipeline against a plain version.
+#: The packing stage needs a tokenizer, which SQL has not; the tests check stage by stage.
 ORACLE_SQL = None
 
 
