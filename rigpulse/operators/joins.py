@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rigpulse.functions.series import CHUNK, Series
@@ -12,21 +12,42 @@ from rigpulse.functions.series import CHUNK, Series
 WINDOW_KEYS = ("asset_id", "mdm_object_name", "timestamp")
 
 
+#: Levels of cells: one slot at the lowest, 2^39 slots at the highest, more than all times a timestamp can hold.
+_LEVELS = 40
+
+
+def _cover(low: Column, high: Column) -> Column:
+    """The fewest aligned cells that make up the slots from ``low`` to ``high``: at most two (level, cell) a level."""
+    def of_level(level: Column) -> Column:
+        left = -F.call_function("shiftright", -low, level)
+        right = F.call_function("shiftright", high + 1, level)
+        first = F.when((left < right) & (left.bitwiseAND(F.lit(1)) == 1), left)
+        last = F.when((left < right) & (right.bitwiseAND(F.lit(1)) == 1), right - 1)
+        return F.array(*[F.struct(level.alias("level"), c.alias("cell")) for c in (first, last)])
+
+    levels = F.sequence(F.lit(0), F.lit(_LEVELS - 1))
+    return F.filter(F.flatten(F.transform(levels, of_level)), lambda c: c["cell"].isNotNull())
+
+
 def attach_trips(tele: DataFrame, trips: DataFrame, key: str = "excavator_id", ts: str = "timestamp",
                  trip_key: str = "object_uuid", slot_seconds: int = 3600) -> DataFrame:
     """Trips that are under way at each reading (``start_time <= ts < end_time``); readings without one are kept.
 
-    Both sides meet in time slots of the machine, so the join is an equi-join whatever the machine's size. A trip takes
-    only slots between the first and the last reading of its machine, so an open end costs no more than its readings.
+    Both sides meet in time slots of the machine, so the join is an equi-join whatever the machine's size. A trip is
+    covered by aligned cells of doubling length, a number that grows with the logarithm of its length, so an open end or
+    a reading with a wrong clock costs nothing. Only the slots that hold readings look for trips, one cell a level.
     """
     def slot(c: str):
         return F.floor(F.unix_seconds(F.col(c)) / F.lit(slot_seconds)).cast("long")
 
-    span = tele.groupBy(F.col(key).alias("_object")).agg(F.min(slot(ts)).alias("_low"), F.max(slot(ts)).alias("_high"))
-    first, last = F.greatest(slot("start_time"), "_low"), F.least(slot("end_time"), "_high")
-    spread = (trips.where(F.col("end_time") > F.col("start_time")).withColumnRenamed(trip_key, "_object")
-              .join(span, "_object").withColumn("_slots", F.when(first <= last, F.sequence(first, last)))
-              .withColumn("_slot", F.explode("_slots")).drop("_low", "_high", "_slots"))
+    cells = (trips.where(F.col("end_time") > F.col("start_time")).withColumnRenamed(trip_key, "_object")
+             .withColumn("_c", F.explode(_cover(slot("start_time"), slot("end_time"))))
+             .select("*", F.col("_c.level").alias("_level"), F.col("_c.cell").alias("_cell")).drop("_c"))
+    in_use = cells.groupBy("_object").agg(F.collect_set("_level").alias("_levels"))
+    probes = (tele.select(F.col(key).alias("_object"), slot(ts).alias("_slot")).where("_slot IS NOT NULL").distinct()
+              .join(in_use, "_object").withColumn("_level", F.explode("_levels"))
+              .withColumn("_cell", F.call_function("shiftright", F.col("_slot"), F.col("_level"))).drop("_levels"))
+    spread = cells.join(probes, ["_object", "_level", "_cell"]).drop("_level", "_cell")
     rows = tele.withColumn("_at", slot(ts))
     on = ((F.col(key) == F.col("_object")) & (F.col("_at") == F.col("_slot"))
           & (F.col(ts) >= F.col("start_time")) & (F.col(ts) < F.col("end_time")))
@@ -72,8 +93,9 @@ def next_event_asof(windows: DataFrame, events: DataFrame, by: Sequence[str] = (
 
 
 def alert_rows(features: DataFrame, predictions: DataFrame, report: DataFrame) -> DataFrame:
-    """Feature rows of the first alert of every detected event."""
+    """The feature row of the first alert of every detected event; of several objects at that time the smallest name."""
     alerts = report.where("detected").select("asset_id", "event_dt", F.col("first_alert_ts").alias("timestamp"))
-    named = alerts.join(predictions.select("asset_id", "event_dt", "timestamp", "mdm_object_name"),
-                        ["asset_id", "event_dt", "timestamp"])
+    named = (alerts.join(predictions.select("asset_id", "event_dt", "timestamp", "mdm_object_name"),
+                         ["asset_id", "event_dt", "timestamp"])
+             .groupBy("asset_id", "event_dt", "timestamp").agg(F.min("mdm_object_name").alias("mdm_object_name")))
     return features.join(named, list(WINDOW_KEYS))

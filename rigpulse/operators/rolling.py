@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from rigpulse.config import EpisodeConfig, min_rows, rows_in_window
 from rigpulse.functions.columns import col, motion_regime, sure, work_regime
@@ -80,21 +84,111 @@ def additional_features(df: DataFrame, series: Series = EXCAVATOR) -> DataFrame:
     return interaction_features(rolling(lagged, series, TRAILING)).drop("_row").na.drop("any")
 
 
-def time_rolling(df: DataFrame, keys: Sequence[str], ts: str, columns: Sequence[str], seconds: int) -> DataFrame:
-    """Mean and std of the last ``seconds`` before and at each reading, from a time-range frame.
+def kth_smallest(ranks: np.ndarray, low: np.ndarray, high: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The ``k``-th smallest (from 0) of ``ranks[low:high]`` for every query; each range holds more than ``k``.
 
-    Time slots as long as the frame split a machine; each slot also gets the readings of the one
-    before it, which is as far back as a frame can reach.
+    The ranks, a permutation, are split by one bit at a time from the highest, keeping their order, and every range
+    follows its answer into one half: n log n whatever the length of the ranges.
     """
+    low, high, k = low.copy(), high.copy(), k.copy()
+    found = np.zeros(len(k), np.int64)
+    for bit in range(max(1, len(ranks).bit_length()) - 1, -1, -1):
+        ones = (ranks >> bit) & 1 == 1
+        before = np.concatenate([[0], np.cumsum(~ones)])
+        zeros_low, zeros_high = before[low], before[high]
+        up = k >= zeros_high - zeros_low
+        k = np.where(up, k - (zeros_high - zeros_low), k)
+        low = np.where(up, before[-1] + low - zeros_low, zeros_low)
+        high = np.where(up, before[-1] + high - zeros_high, zeros_high)
+        found |= up.astype(np.int64) << bit
+        ranks = np.concatenate([ranks[~ones], ranks[ones]])
+    return found
+
+
+def sliding_medians(values: np.ndarray, known: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ma.MaskedArray:
+    """Median of the known values in ``values[first:end]`` for every pair of bounds; masked where none is known."""
+    count = np.concatenate([[0], np.cumsum(known)])
+    low, high = count[first], count[end]
+    size = high - low
+    some = size > 0
+    x = values[known]
+    order = np.argsort(x, kind="stable")
+    ranks = np.empty(len(x), np.int64)
+    ranks[order] = np.arange(len(x))
+    made = np.ma.masked_all(len(first), np.float64)
+    if some.any():
+        low, high, size = low[some], high[some], size[some]
+        left = x[order[kth_smallest(ranks, low, high, (size - 1) // 2)]]
+        right = x[order[kth_smallest(ranks, low, high, size // 2)]]
+        made[some] = np.where(left == right, left, left * 0.5 + right * 0.5)
+    return made
+
+
+def time_rolling(df: DataFrame, keys: Sequence[str], ts: str, columns: Sequence[str], seconds: int,
+                 rows_at_once: int = 1 << 16) -> DataFrame:
+    """Mean, std and median of the last ``seconds`` before and at each reading; rows without a time have none.
+
+    Time slots as long as the frame split a machine; each slot also gets the readings of the one before it, which is as
+    far back as a frame can reach. Means and deviations come from a time-range frame, medians from ``sliding_medians``
+    over the same partitioning, whole slots of about ``rows_at_once`` rows at a time, and at least one slot and the one
+    before it.
+    """
+    span = seconds * 1_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = (df.withColumn("_us", micros).withColumn("_slot", F.floor(F.col("_us") / F.lit(seconds * 1e6)).cast("long"))
-            .withColumn("_part", F.explode(F.array(F.col("_slot"), F.col("_slot") + 1))))
-    frame = Window.partitionBy(*keys, "_part").orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    made = []
+    untimed = F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(1024)) - F.lit(1 << 62)
+    rows = (df.withColumn("_us", micros).withColumn("_slot", F.floor(F.col("_us") / F.lit(float(span))).cast("long"))
+            .withColumn("_part", F.explode(F.when(F.col("_us").isNull(), F.array(untimed))
+                                           .otherwise(F.array(F.col("_slot"), F.col("_slot") + 1)))))
+    ordered = Window.partitionBy(*keys, "_part").orderBy("_us")
+    frame = ordered.rangeBetween(-(span - 1), 0)
+    timed = F.col("_us").isNotNull()
+    made = [F.row_number().over(ordered).alias("_place")]
     for c in columns:
-        made += [F.avg(c).over(frame).alias(f"{c}_mean"), F.stddev_samp(c).over(frame).alias(f"{c}_std"),
-                 F.percentile(c, F.lit(0.5)).over(frame).alias(f"{c}_median")]
-    return rows.select("*", *made).where(F.col("_part") == F.col("_slot")).drop("_us", "_slot", "_part")
+        made += [F.when(timed, F.avg(c).over(frame)).alias(f"{c}_mean"),
+                 F.when(timed, F.stddev_samp(c).over(frame)).alias(f"{c}_std")]
+    framed = (rows.repartition(*keys, "_part").select("*", *made, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+              .sortWithinPartitions(*keys, "_part", "_place"))
+    kept = [f for f in framed.schema if f.name in df.columns or f.name.endswith(("_mean", "_std"))]
+    schema = StructType([StructField(f.name, f.dataType) for f in kept]
+                        + [StructField(f"{c}_median", DoubleType()) for c in columns])
+
+    def medians(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        us, part = (table[c].fill_null(0).to_numpy() for c in ("_us", "_part"))
+        timed = table["_us"].is_valid().to_numpy()
+        group = np.cumsum(np.isin(np.arange(len(us)), starts)) - 1
+        own = ~timed | (table["_slot"].fill_null(0).to_numpy() == part)
+        # a machine's slot and the one before it: from 0 to below two spans; three spans hold the groups apart
+        at = group * (3 * span) + np.where(timed, us - (np.where(timed, part, 0) - 1) * span, 0)
+        first, end = np.searchsorted(at, at[own] - (span - 1)), np.searchsorted(at, at[own], "right")
+        result = table.select([f.name for f in kept]).filter(pa.array(own))
+        for i, c in enumerate(columns):
+            x = table[f"_x{i}"]
+            m = sliding_medians(x.fill_null(0.0).to_numpy(), x.is_valid().to_numpy() & timed, first, end)
+            result = result.append_column(f"{c}_median", pa.array(m.filled(0.0), pa.float64(), mask=np.ma.getmaskarray(m)))
+        return result
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, enough = [], 0, rows_at_once
+        apart = max(1, (1 << 61) // (3 * span))
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                rows += batch.num_rows
+            if not rows or (batch is not None and rows < enough):
+                continue
+            table = pa.Table.from_batches(held)
+            starts = np.flatnonzero(table["_place"].to_numpy() == 1)
+            cuts = [*starts[::apart].tolist(), len(table) if batch is None else int(starts[-1])]
+            for low, high in zip(cuts, cuts[1:]):
+                if high > low:
+                    inside = starts[(starts >= low) & (starts < high)] - low
+                    yield from medians(table.slice(low, high - low), inside).to_batches()
+            held = table.slice(cuts[-1]).to_batches()
+            rows = len(table) - cuts[-1]
+            enough = max(rows_at_once, 2 * rows)
+
+    names = [f"{c}_{kind}" for c in columns for kind in ("mean", "std", "median")]
+    return framed.mapInArrow(run, schema).select(*df.columns, *names)
 
 
 def sampling_step(df: DataFrame, series: Series = EXCAVATOR) -> DataFrame:

@@ -73,11 +73,10 @@ class RiskRun:
 
     def explanations(self, threshold: float, n: int = 8) -> DataFrame:
         """Factors of the first alert of every detected event."""
-        alerts = alert_rows(self.features, self.predictions, self.early_warning(threshold))
+        alerts = alert_rows(self.features.drop("event_dt"), self.predictions, self.early_warning(threshold))
         typical = medians_of(self.features, self.columns)
         keys = [*WINDOW_KEYS, "event_dt"]
-        moved = alert_contributions(self.model, alerts.drop("event_dt").join(
-            self.predictions.select(*WINDOW_KEYS, "event_dt"), list(WINDOW_KEYS)), self.columns, typical, keys)
+        moved = alert_contributions(self.model, alerts, self.columns, typical, keys)
         return alert_text(domain_hints(top_factors(moved, keys, n)))
 
 

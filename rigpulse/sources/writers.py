@@ -37,5 +37,9 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
 
 
 def write_report(df: DataFrame, path: str, by: str = "excavator_id", mode: str = "overwrite") -> None:
-    """One folder per machine, its name made safe for a path."""
-    df.withColumn(by, safe_segment(by)).write.mode(mode).partitionBy(by).parquet(path)
+    """One folder per machine, its name made safe for a path.
+
+    ``overwrite`` replaces the folders of the machines in ``df`` and leaves those of all others, also when the job fails.
+    """
+    (df.withColumn(by, safe_segment(by)).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .partitionBy(by).parquet(path))

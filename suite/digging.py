@@ -12,6 +12,7 @@ from rigpulse.operators import physics, rolling, scoring, stats
 from rigpulse.operators.rolling import EXCAVATOR, TRAILING, sliding_names
 from rigpulse.plans import excavators as plan
 from rigpulse.schemas import EXCAVATOR_SENSORS as S
+from rigpulse.schemas import FEATURE_TITLES
 from suite.registry import query
 from suite.views import (CFG, CLEAN, FLAGGED, REGIMES, TELE, exc_sql, excavators, healthy_sql, sliding_sql, table,
                          trucks)
@@ -64,12 +65,16 @@ def interaction_features(spark, d):
     return rolling.interaction_features(clean(spark, d, "user_id")).select("event_id", *_MIX)
 
 
-@query(f"WITH {_CLEAN5} SELECT event_id, max_heading_last_hour, gps_speed_kmh_shift_3 FROM (SELECT event_id, "
-       + f"{_trail('heading_angle_deg', 'max', 60)} AS max_heading_last_hour, lag(gps_speed_kmh, 3) OVER "
-       + '(PARTITION BY excavator_id ORDER BY "timestamp") AS gps_speed_kmh_shift_3 FROM clean) '
-       + "WHERE max_heading_last_hour IS NOT NULL", "max_heading_last_hour gps_speed_kmh_shift_3")
+_LAGS = {f"{c}_{kind}_{n}": f"{sign}lag({c}, {n}) OVER m" for c in S for n in (1, 2, 3)
+         for kind, sign in (("shift", ""), ("diff", f"{c} - "))}
+_MORE = {**_LAGS, **{name: _trail(c, fn, n) for name, (c, fn, n, _) in TRAILING.items()}, **_MIX}
+
+
+@query(f"WITH {_CLEAN5}, made AS (SELECT event_id, flag_invalid, {', '.join(S)}, " + ", ".join(f"{x} AS {n}" for n, x in _MORE.items())
+       + ' FROM clean WINDOW m AS (PARTITION BY excavator_id ORDER BY "timestamp")) SELECT event_id, ' + ", ".join(_MORE)
+       + " FROM made WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in [*S, *_MORE]), list(_MORE))
 def additional_features(spark, d):
-    return rolling.additional_features(clean(spark, d)).select("event_id", "max_heading_last_hour", "gps_speed_kmh_shift_3")
+    return rolling.additional_features(clean(spark, d)).select("event_id", *_MORE)
 
 
 @query(f"WITH {_CLEAN}, {REGIMES} SELECT event_id, regime_motion, regime_work, regime FROM reg")
@@ -201,14 +206,20 @@ def robust_normalize(spark, d):
     return stats.robust_normalize(table(spark, d, "events"), ["user_id"], "value", half, "score_norm").select("event_id", "score_norm")
 
 
-@query(f"""WITH {exc_sql()}, long AS (UNPIVOT (SELECT event_id, {", ".join(S[:1] + S[2:])} FROM exc) ON {", ".join(S[:1] + S[2:])} INTO NAME feature VALUE value)
-SELECT *, CASE WHEN feature = 'gps_speed_kmh' THEN CASE WHEN value BETWEEN 0 AND 10 THEN 'real_anomaly' ELSE 'sensor_error' END
-  WHEN feature LIKE 'platform%' THEN CASE WHEN value BETWEEN -35 AND 35 THEN 'real_anomaly' ELSE 'sensor_error' END
-  ELSE CASE WHEN value BETWEEN 0 AND 120 THEN 'real_anomaly' ELSE 'sensor_error' END END AS outlier_class FROM long""", "value")
+# a value of each of the 15 rated quantities for every reading, on both sides of its limits
+_RATED = [*physics.PHYSICAL_LIMITS, *physics.NONZERO]
+_VALUES = {f: f"CAST((event_id * {7 + 2 * i}) % 301 - 150 AS DOUBLE) / {1 + i % 7}" for i, f in enumerate(_RATED)}
+_LIMITS = ", ".join(f"('{f}', CAST('{a}' AS DOUBLE), CAST('{b}' AS DOUBLE))" for f, (a, b) in physics.PHYSICAL_LIMITS.items())
+
+
+@query(f"""WITH wide AS (SELECT event_id, {", ".join(f"{x} AS {f}" for f, x in _VALUES.items())} FROM events),
+long AS (UNPIVOT wide ON {", ".join(_RATED)} INTO NAME feature VALUE value),
+limits AS (SELECT * FROM (VALUES {_LIMITS}) t(feature, low, high))
+SELECT event_id, feature, value, CASE WHEN CASE WHEN feature IN ('lat', 'lon') THEN value <> 0 ELSE value BETWEEN low AND high END
+  THEN 'real_anomaly' ELSE 'sensor_error' END AS outlier_class FROM long LEFT JOIN limits USING (feature)""", "value")
 def classify_outliers(spark, d):
-    wide = excavators(spark, d)
-    long = wide.unpivot(["event_id"], S[:1] + S[2:], "feature", "value")
-    return physics.classify_outliers(long)
+    wide = table(spark, d, "events").select("event_id", *[F.expr(x).alias(f) for f, x in _VALUES.items()])
+    return physics.classify_outliers(wide.unpivot(["event_id"], _RATED, "feature", "value"))
 
 
 # scores
@@ -389,14 +400,16 @@ def top_contributions(spark, d):
     return E.top_contributions(made).select("excavator_id", "episode_id", "rank", "feature", "score")
 
 
-@query(f"""WITH {_CONTRIB}, tops AS (SELECT * FROM contrib WHERE "rank" <= 3),
+_EXAMPLES = f"""{_CONTRIB}, tops AS (SELECT * FROM contrib WHERE "rank" <= 3),
 tot AS (SELECT excavator_id, episode_id, "timestamp", sum(coalesce(abs((x - baseline_median) / baseline_mad), 0)) AS total
   FROM plong JOIN tops USING (excavator_id, episode_id, position) GROUP BY ALL),
-best AS (SELECT *, CAST(row_number() OVER (PARTITION BY excavator_id, episode_id ORDER BY round(total, 9) DESC, "timestamp") AS INTEGER) AS example FROM tot)
-SELECT excavator_id, episode_id, example, "timestamp", "rank", feature, x AS value, baseline_median, x - baseline_median AS delta,
-  (x - baseline_median) / baseline_mad AS sigma
-FROM best JOIN tops USING (excavator_id, episode_id) JOIN plong USING (excavator_id, episode_id, position, "timestamp") WHERE example <= 2""",
-       "value baseline_median delta sigma")
+best AS (SELECT *, CAST(row_number() OVER (PARTITION BY excavator_id, episode_id ORDER BY round(total, 9) DESC, "timestamp") AS INTEGER) AS example FROM tot),
+shown AS (SELECT excavator_id, episode_id, example, "timestamp", "rank", feature, x AS value, baseline_median, x - baseline_median AS delta,
+    (x - baseline_median) / baseline_mad AS sigma
+  FROM best JOIN tops USING (excavator_id, episode_id) JOIN plong USING (excavator_id, episode_id, position, "timestamp") WHERE example <= 2)"""
+
+
+@query(f"WITH {_EXAMPLES} SELECT * FROM shown", "value baseline_median delta sigma")
 def episode_examples(spark, d):
     points, episodes = _episodes(spark, d)
     return E.episode_examples(points, plan.materialize(E.episode_contributions(points, episodes, floor=FLOOR)))
@@ -408,10 +421,42 @@ def chart_series(spark, d):
     return E.chart_series(labelled_points(spark, d))
 
 
-@query(f"""WITH {_CONTRIB} SELECT excavator_id, episode_id, feature, direction FROM contrib WHERE "rank" = 1""")
+def _digits(x: str, signed: bool = False) -> str:
+    """Three significant digits in SQL."""
+    unit = f"pow(CAST(10 AS DOUBLE), abs(2 - floor(log10(abs({x})) + CAST(1e-9 AS DOUBLE))))"
+    half = "CAST(0.5000001 AS DOUBLE)"
+    kept = (f"CASE WHEN {x} = 0 THEN CAST(0 AS DOUBLE) WHEN abs({x}) < 1000 THEN floor(abs({x}) * {unit} + {half}) / {unit} "
+            f"ELSE floor(abs({x}) / {unit} + {half}) * {unit} END")
+    shown = f"regexp_replace(CAST(CAST({kept} AS DECIMAL(38, 12)) AS VARCHAR), '\\.?0+$', '')"
+    return f"coalesce(CASE WHEN {x} < 0 THEN '-' ELSE '{'+' if signed else ''}' END || {shown}, 'unknown')"
+
+
+_TITLE = "CASE feature " + " ".join(f"WHEN '{f}' THEN '{t}'" for f, t in FEATURE_TITLES.items()) + " ELSE feature END"
+_LINE = (f"{_TITLE} || ' ' || {_digits('episode_median')} || ' against a usual ' || {_digits('baseline_median')} || ': ' || "
+         f"{_digits('delta', True)} || ' (' || direction || '), ' || {_digits('sigma', True)} || ' deviations'")
+
+
+@query(f"""WITH {_CONTRIB} SELECT excavator_id, episode_id, "rank", feature, direction, {_LINE} AS text FROM contrib""")
 def format_report(spark, d):
-    lines = E.format_report(E.episode_contributions(*_episodes(spark, d), floor=FLOOR, top=1))
-    return lines.where(F.length("text") > 0).select("excavator_id", "episode_id", "feature", "direction")
+    lines = E.format_report(E.episode_contributions(*_episodes(spark, d), floor=FLOOR))
+    return lines.select("excavator_id", "episode_id", "rank", "feature", "direction", "text")
+
+
+_STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
+_READING = (f"""'Reading ' || example || ' at ' || {_STAMP.format('"timestamp"')} || ': ' || {_TITLE} || ' ' || {_digits('value')} """
+            f"|| ' (' || {_digits('delta', True)} || ', ' || {_digits('sigma', True)} || ' deviations)'")
+
+
+@query(f"""WITH {_EXAMPLES},
+heads AS (SELECT excavator_id, episode_id, string_agg({_LINE}, chr(10) ORDER BY "rank") AS lines FROM tops GROUP BY ALL),
+tails AS (SELECT excavator_id, episode_id, string_agg({_READING}, chr(10) ORDER BY example, "rank") AS lines FROM shown GROUP BY ALL)
+SELECT excavator_id, episode_id, concat_ws(chr(10), 'Episode ' || episode_id || ': ' || {_STAMP.format('start_ts')} || ' to ' ||
+  {_STAMP.format('end_ts')} || ', regime ' || coalesce(regime, 'unknown') || ', ' || n_points || ' readings', heads.lines, tails.lines) AS text
+FROM summ LEFT JOIN heads USING (excavator_id, episode_id) LEFT JOIN tails USING (excavator_id, episode_id)""")
+def episode_reports(spark, d):
+    points, episodes = _episodes(spark, d)
+    made = plan.materialize(E.episode_contributions(points, episodes, floor=FLOOR))
+    return E.episode_reports(episodes, made, E.episode_examples(points, made))
 
 
 @query(f"""WITH {TELE}, f AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN ['rail_diff_std', 'fuel_rate_mean'] WHEN 1 THEN ['rail_error_max'] ELSE ['temp_engine_max'] END AS factors FROM tele)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rigpulse.operators import evaluate, joins, labels, resample, stats
+from rigpulse.functions.columns import safe_segment
+from rigpulse.operators import evaluate, joins, labels, resample, risk, shaping, stats
 from rigpulse.operators.rolling import add_rail_features as rail_features
 from rigpulse.operators.rolling import time_rolling as rolling_in_time
 from rigpulse.functions.series import Series
@@ -160,6 +161,26 @@ def attach_trips(spark, d):
     return joined.select("event_id", "asset_id", "trip", "start_time", "end_time")
 
 
+_OPEN = """trips AS (SELECT user_id AS object_uuid, event_id AS trip, ts AS start_time,
+  CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '9999-01-01' ELSE ts + to_minutes(CAST(event_id % 5000 AS INTEGER)) END AS end_time
+  FROM events WHERE event_type = 'error' AND event_id % 4 < 2),
+late AS (SELECT event_id, asset_id, CASE WHEN event_id % 997 = 0 THEN TIMESTAMP '2099-01-01' ELSE "timestamp" END AS "timestamp" FROM tele)"""
+
+
+@query(f"""WITH {TELE}, {_OPEN} SELECT asset_id, trip, count(*) AS readings, max("timestamp") AS last_reading
+FROM late JOIN trips ON asset_id = object_uuid AND "timestamp" >= start_time AND "timestamp" < end_time GROUP BY ALL""")
+def attach_open_trips(spark, d):
+    """Trips of any length, some without an end, and readings whose clock is decades ahead."""
+    e = F.col("event_id")
+    end = F.when(e % 3 == 0, F.lit("9999-01-01").cast("timestamp")).otherwise(
+        F.timestamp_micros(F.unix_micros("ts") + (e % 5000) * 60_000_000))
+    trips = events(spark, d).where("event_type = 'error' AND event_id % 4 < 2").select(
+        F.col("user_id").alias("object_uuid"), e.alias("trip"), F.col("ts").alias("start_time"), end.alias("end_time"))
+    late = trucks(spark, d).withColumn("timestamp", F.when(e % 997 == 0, F.lit("2099-01-01").cast("timestamp")).otherwise(F.col("timestamp")))
+    joined = joins.attach_trips(late, trips, key="asset_id").where("trip IS NOT NULL")
+    return joined.groupBy("asset_id", "trip").agg(F.count("*").alias("readings"), F.max("timestamp").alias("last_reading"))
+
+
 @query("""SELECT l_orderkey, l_linenumber, s.s_name AS lab, s.day AS reported FROM lineitem LEFT JOIN (
   SELECT DISTINCT l_suppkey AS k, l_shipdate AS day, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1) s
   ON l_suppkey = s.k AND l_shipdate = s.day""")
@@ -322,9 +343,49 @@ def lead_time_summary(spark, d):
 
 @query(f"""WITH {_REPORT}, f AS (SELECT asset_id, mdm_object_name, ts AS "timestamp", proba AS feature FROM wins)
 SELECT f.asset_id, f.mdm_object_name, f."timestamp", f.feature, r.event_dt FROM f
-JOIN pred p USING (asset_id, mdm_object_name, "timestamp")
+JOIN (SELECT asset_id, event_dt, "timestamp", min(mdm_object_name) AS mdm_object_name FROM pred GROUP BY ALL) p USING (asset_id, mdm_object_name, "timestamp")
 JOIN report r ON r.detected AND r.asset_id = p.asset_id AND r.event_dt = p.event_dt AND r.first_alert_ts = p."timestamp" """, "feature")
 def alert_rows(spark, d):
     pred = predictions(spark, d)
     features = pred.select("asset_id", "mdm_object_name", "timestamp", F.col("proba").alias("feature"))
     return joins.alert_rows(features, pred, evaluate.early_warning_report(pred, 0.9))
+
+
+_FACTORS = ["rail_pressure", "fuel_rate", "engine_load", "temp_engine", "pres_coolant_nn"]
+_PUSH = {c: f"CAST((event_id * {11 + 6 * i}) % 41 - 20 AS DOUBLE) / 4" for i, c in enumerate(_FACTORS)}
+_HINTED = [("rail_pressure", "fuel_rate", "engine_load", "temp_engine", "pres_coolant_nn"),
+           ("rail_error_max", "fuel_rate_mean", "rail_diff_std", "temp_engine_max", "load")]
+_KINDS = dict(zip(*_HINTED))
+_MOVED = " UNION ALL ".join(f"SELECT event_id, {i} AS position, '{_KINDS[c]}' AS feature, {x} AS contribution FROM events"
+                            for i, (c, x) in enumerate(_PUSH.items()))
+_TOLD = {"rail_diff": "rail pressure swings more between readings", "fuel_rate": "steady work burns more fuel than it used to",
+         "rail_error": "rail pressure follows its set point less closely"}
+
+
+@query(f"""WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY abs(contribution) DESC, position) AS r FROM ({_MOVED})),
+tops AS (SELECT event_id, string_agg(feature || ' (' || CASE WHEN contribution > 0 THEN 'raises' ELSE 'lowers' END || ')', ', ' ORDER BY r) AS factors,
+  concat_ws('; ', {", ".join(f"max(CASE WHEN contains(feature, '{k}') THEN '{t}' END)" for k, t in _TOLD.items())}) AS hints
+  FROM ranked WHERE r <= 3 GROUP BY 1)
+SELECT event_id, 'Main factors: ' || factors || CASE WHEN hints <> '' THEN chr(10) || 'Possible reasons: ' || hints || '.' ELSE '' END AS text FROM tops""")
+def alert_text(spark, d):
+    """Factors, hints and text of an alert at every event, from contributions that follow from its number."""
+    wide = table(spark, d, "events").select("event_id", *[F.expr(x).alias(c) for c, x in _PUSH.items()])
+    entries = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(_KINDS[c]).alias("feature"), F.col(c).alias("contribution"))
+                        for i, c in enumerate(_PUSH)])
+    moved = wide.select("event_id", F.inline(entries))
+    return risk.alert_text(risk.domain_hints(risk.top_factors(moved, ["event_id"], 3))).select("event_id", "text")
+
+
+@query(f"""WITH {TELE} SELECT event_id, rail_pressure, rail_pressure_target, fuel_rate, engine_load, temp_engine, pres_coolant_nn,
+  replace(event_type, 'e', '/') AS raw, replace(replace(event_type, 'e', '/'), '/', '_') AS folder,
+  CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS target FROM tele""",
+       "rail_pressure rail_pressure_target fuel_rate engine_load temp_engine pres_coolant_nn")
+def split_features(spark, d):
+    """Numeric inputs and target apart and together again by their key; names as folders."""
+    rows = trucks(spark, d).withColumn("target", F.expr("if(event_type = 'error', 1, 0)")).withColumn(
+        "raw", F.regexp_replace("event_type", "e", "/"))
+    rows = shaping.drop_if_present(rows, ["event_type", "no_such_column"])
+    inputs, target = shaping.split_features(rows, ["event_id"])
+    kept = [c for c in shaping.feature_columns(inputs, {"event_id", "asset_id", "mdm_object_name", "vehicle_speed"})]
+    made = inputs.select("event_id", *kept, "raw", safe_segment("raw").alias("folder"))
+    return made.join(target, "event_id")

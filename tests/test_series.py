@@ -11,9 +11,9 @@ from rigpulse.config import EpisodeConfig, min_rows, rows_in_window
 from rigpulse.functions.series import Series, number_rows, with_previous
 from rigpulse.operators.episodes import assign_episode_id, episode_intervals
 from rigpulse.operators.impute import fill_forward_backward, interpolate_linear
-from rigpulse.operators.joins import next_event_asof
+from rigpulse.operators.joins import attach_trips, next_event_asof
 from rigpulse.operators.resample import resample_means
-from rigpulse.operators.rolling import rolling, sampling_step, sliding_features, time_rolling
+from rigpulse.operators.rolling import rolling, sampling_step, sliding_features, sliding_medians, time_rolling
 
 T0 = datetime(2024, 1, 1)
 FINE = Series(("m",), "ts", ("i",), chunk_seconds=7, block_rows=4)
@@ -156,3 +156,45 @@ def test_dense_bins(spark):
     bins = resample_means(df, ["m"], "ts", 43200, ["v"]).orderBy("m", "ts").collect()
     assert [(r["m"], r["ts"].day, r["ts"].hour, r["v"]) for r in bins] == [
         ("a", 1, 12, 1.0), ("a", 2, 0, None), ("a", 2, 12, None), ("a", 3, 0, 2.0), ("b", 1, 0, 3.0)]
+
+
+def test_sliding_medians():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 64, 1000):
+        values, known = rng.integers(0, 20, n) / 4.0, rng.random(n) < 0.8
+        first = rng.integers(0, n, 200)
+        end = np.minimum(n, first + rng.integers(0, n + 1, 200))
+        made = sliding_medians(values, known, first, end)
+        for i, (a, b) in enumerate(zip(first, end)):
+            inside = values[a:b][known[a:b]]
+            assert made.mask[i] if not len(inside) else made[i] == np.median(inside)
+
+
+@pytest.mark.parametrize("at_once", [5, 1 << 16])
+def test_time_rolling_medians(spark, at_once):
+    """Ties in time, nulls, a lone machine, rows without a time, against a plain loop."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "a" if i % 4 else "b", T0 + timedelta(seconds=int(rng.integers(0, 900))) if i % 11 else None,
+             float(rng.integers(0, 30)) if i % 7 else None) for i in range(300)] + [(300, "c", T0, None)]
+    df = spark.createDataFrame(rows, "id int, machine string, ts timestamp, v double")
+    made = {r["id"]: r for r in time_rolling(df, ["machine"], "ts", ["v"], 60, at_once).collect()}
+    assert len(made) == 301
+    for i, machine, ts, _ in rows:
+        near = [v for _, m, t, v in rows if ts and t and m == machine and 0 <= (ts - t).total_seconds() < 60 and v is not None]
+        assert made[i]["v_median"] == (float(np.median(near)) if near else None)
+        assert made[i]["v_mean"] == (pytest.approx(np.mean(near)) if near else None)
+
+
+def test_open_trips(spark):
+    """Trips of every length around slot borders, one without an end, a reading with a wrong clock."""
+    readings = [(i, "a", T0 + timedelta(minutes=17 * i)) for i in range(200)] + [(900, "a", T0 + timedelta(days=30000)), (901, "b", T0), (902, "a", None)]
+    trips = [(n, "a", T0 + timedelta(minutes=s), T0 + timedelta(minutes=s + length))
+             for n, (s, length) in enumerate((s, length) for s in (-100, 0, 59, 60, 61, 500) for length in (0, 1, 59, 60, 61, 120, 1000))]
+    trips += [(99, "a", T0 + timedelta(days=1), T0 + timedelta(days=2_000_000)), (98, "a", T0, None)]
+    made = attach_trips(spark.createDataFrame(readings, "id int, excavator_id string, timestamp timestamp"),
+                        spark.createDataFrame(trips, "trip int, object_uuid string, start_time timestamp, end_time timestamp"))
+    expected = []
+    for i, machine, t in readings:
+        inside = [n for n, m, s, e in trips if t and e and m == machine and s <= t < e]
+        expected += [(i, n) for n in inside] or [(i, None)]
+    assert sorted(((r["id"], r["trip"]) for r in made.collect()), key=str) == sorted(expected, key=str)

@@ -9,7 +9,8 @@ from rigpulse import schemas
 from rigpulse.config import EpisodeConfig
 from rigpulse.functions.columns import parse_ts, round_ts
 from rigpulse.operators import evaluate, impute, labels, quality, shaping
-from rigpulse.operators.episodes import episode_baseline, episode_contributions
+from rigpulse.operators.episodes import episode_baseline, episode_contributions, three_digits
+from rigpulse.operators.joins import alert_rows
 from rigpulse.operators.rolling import label_regime
 from rigpulse.operators.stats import standardize
 from rigpulse.plans import ingest
@@ -99,6 +100,32 @@ def test_narrowing_keeps_large_numbers(spark, tmp_path):
     assert (tmp_path / "r" / "excavator_id=a_b").exists()
 
 
+def test_report_again_for_one_machine(spark, tmp_path):
+    path, schema = str(tmp_path / "r"), "excavator_id string, n int"
+    write_report(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], schema), path)
+    write_report(spark.createDataFrame([("a", 4)], schema), path)
+    broken = spark.createDataFrame([("b", 5)], schema).withColumn("n", F.expr("if(n = 5, raise_error('stop'), n)").cast("int"))
+    with pytest.raises(Exception, match="stop"):
+        write_report(broken, path)
+    assert sorted((r["excavator_id"], r["n"]) for r in spark.read.parquet(path).collect()) == [("a", 4), ("b", 3)]
+
+
+def test_digits_and_reports(spark):
+    """Three significant digits of small, large, tied, signed and unknown numbers."""
+    shown = {0.0: "0", 0.00012: "0.00012", 1.005: "1.01", 12.25: "12.3", -0.04567: "-0.0457", 999.6: "1000", 123456.0: "123000", None: "unknown"}
+    df = spark.createDataFrame([(x,) for x in shown], "x double")
+    assert {r["x"]: r["t"] for r in df.select("x", three_digits(F.col("x")).alias("t")).collect()} == shown
+    assert df.where("x = 12.25").select(three_digits(F.col("x"), True)).first()[0] == "+12.3"
+
+
+def test_one_alert_row_for_two_objects(spark):
+    pred = spark.createDataFrame([(1, n, T0, T0 + timedelta(days=9)) for n in (12, 11)],
+                                 "asset_id int, mdm_object_name int, timestamp timestamp, event_dt timestamp")
+    report = spark.createDataFrame([(1, T0 + timedelta(days=9), T0, True)],
+                                   "asset_id int, event_dt timestamp, first_alert_ts timestamp, detected boolean")
+    assert [r["mdm_object_name"] for r in alert_rows(pred.drop("event_dt"), pred, report).collect()] == [11]
+
+
 def test_truck_ingest(spark, tmp_path):
     folder = tmp_path / "telemetry"
     folder.mkdir()
