@@ -1,9 +1,15 @@
 """Near-duplicate vectors by sorted projection passes.
 
 A pass orders the distinct vectors by the concatenated signs of random projections and compares each with the
-``window`` vectors after it; verified pairs of all passes are united to components. The number of passes follows from
-the number of vectors, so that a pair at the threshold is found with probability ``recall`` at every size: near
-vectors share long prefixes, and the prefix that a window spans grows with the logarithm of the table.
+``window`` vectors after it; verified pairs of all passes are united to components. Signs are taken of the vectors less
+their mean, so that a direction which all share does not leave most of them with the same signs; pairs are verified on
+the vectors themselves.
+
+The number of passes is measured. What a window spans in the first passes tells how many signs two vectors must share
+to meet in it, the length of the mean tells how far apart a pair at the threshold lies without it, and passes are added
+until such a pair is found with probability ``recall``. Where the vectors at both ends of a window are themselves closer
+than the threshold, links run through it and no more passes are needed. The stronger the common direction, the less is
+left to tell vectors apart and the more passes it takes.
 
 Windows bound only the search. Links are then counted exactly among the vectors of each component, in blocks whose
 tasks are bounded; that count is quadratic in the size of a component of different vectors, as its links are. Equal
@@ -31,15 +37,32 @@ class ProjectionConfig:
     window: int = 32
     recall: float = 0.98
     least_passes: int = 16
+    #: The smallest cosine without the mean that passes are made for; below it the mean alone nearly makes a link.
+    least_cosine: float = 0.4
     bits: int = 60
     seed: int = 11
     #: Rows of a sorted block, and of a block of a component.
     block: int = 1024
 
-    def passes(self, vectors: int) -> int:
-        same = 1 - math.acos(self.threshold) / math.pi
-        depth = max(0.0, math.log2(max(2, vectors) / self.window))
-        return max(self.least_passes, math.ceil(math.log(1 - self.recall) / math.log1p(-min(0.99, same ** depth))))
+    def apart(self, shared: float) -> float:
+        """Share of signs in which two vectors at the threshold differ, once a mean of squared length ``shared`` is gone."""
+        left = (self.threshold - shared) / max(1e-9, 1 - shared)
+        return math.acos(max(self.least_cosine, left)) / math.pi
+
+    def passes(self, spans: list[tuple[float, int, int]]) -> int:
+        """Passes that find a pair at the threshold with probability ``recall``.
+
+        ``spans`` are (squared length of the mean, signs to share or 0 where none are needed, number of vectors).
+        """
+        total = sum(n for _, _, n in spans)
+
+        def missed(passes: int) -> float:
+            return sum(n * (1 - (1 - self.apart(shared)) ** signs) ** passes for shared, signs, n in spans)
+
+        enough = self.least_passes
+        while missed(enough) > (1 - self.recall) * total:
+            enough += max(1, enough // 8)
+        return enough
 
 
 def _unit(rows: list[bytes]) -> np.ndarray:
@@ -67,8 +90,26 @@ def _packed(vectors: DataFrame) -> DataFrame:
                           ).mapInArrow(run, "vec_id long, dim int, data binary")
 
 
-def _keys(distinct: DataFrame, config: ProjectionConfig, passes: int) -> DataFrame:
-    """(pass, dim, key, node) for every vector and pass."""
+def _centres(ws: Workspace, distinct: DataFrame) -> DataFrame:
+    """(dim, centre, shared): mean of the unit vectors of each length and its squared length, from sums of batches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column(0).to_numpy()
+            for dim in np.unique(dims):
+                x = _unit(batch.column(1).take(pa.array(np.flatnonzero(dims == dim))).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(x)], pa.int64()),
+                                                  pa.array([x.sum(0).tolist()], pa.list_(pa.float64()))], names=["dim", "n", "total"])
+
+    sums = distinct.select("dim", "data").mapInArrow(run, "dim int, n long, total array<double>")
+    means = (sums.select("dim", "n", F.posexplode("total").alias("at", "part")).groupBy("dim", "at")
+             .agg((F.sum("part") / F.sum("n")).alias("mean")))
+    centres = means.groupBy("dim").agg(F.sort_array(F.collect_list(F.struct("at", "mean"))).alias("all"),
+                                       F.sum(F.col("mean") * F.col("mean")).alias("shared"))
+    return ws.table(centres.select("dim", F.transform("all", lambda e: e["mean"]).alias("centre"), "shared"), "centres")
+
+
+def _keys(distinct: DataFrame, centres: DataFrame, config: ProjectionConfig, first: int, last: int) -> DataFrame:
+    """(pass, dim, key, node) for every vector and the passes from ``first`` to below ``last``."""
     weights = 1 << np.arange(config.bits - 1, -1, -1, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,10 +118,11 @@ def _keys(distinct: DataFrame, config: ProjectionConfig, passes: int) -> DataFra
             dims = batch.column(1).to_numpy()
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
+                centre = np.array(batch.column(3)[int(rows[0])].as_py())
                 for at in range(0, len(rows), 2048):
                     some = pa.array(rows[at:at + 2048])
-                    x, node = _unit(batch.column(2).take(some).to_pylist()), batch.column(0).take(some)
-                    for p in range(passes):
+                    x, node = _unit(batch.column(2).take(some).to_pylist()) - centre, batch.column(0).take(some)
+                    for p in range(first, last):
                         if (dim, p) not in planes and len(planes) < 512:
                             planes[dim, p] = np.random.default_rng([config.seed, p, dim]).standard_normal((dim, config.bits))
                         plane = planes.get((dim, p))
@@ -91,7 +133,20 @@ def _keys(distinct: DataFrame, config: ProjectionConfig, passes: int) -> DataFra
                             [pa.array(np.full(len(key), p, np.int32)), pa.array(np.full(len(key), dim, np.int32)),
                              pa.array(key), node], names=["pass", "dim", "key", "node"])
 
-    return distinct.select("node", "dim", "data").mapInArrow(run, "pass int, dim int, key long, node long")
+    return (distinct.select("node", "dim", "data").join(centres.select("dim", "centre"), "dim")
+            .select("node", "dim", "data", "centre").mapInArrow(run, "pass int, dim int, key long, node long"))
+
+
+def _spans(ranged: DataFrame, centres: DataFrame, config: ProjectionConfig) -> list[tuple[float, int, int]]:
+    """How many signs the ends of windows share, counted: at most a hundred squared lengths times the bits of a key."""
+    inside = Window.partitionBy("part", "pass", "dim").orderBy("key", "node")
+    other = F.col("key").bitwiseXOR(F.lead("key", config.window).over(inside))
+    same = F.lit(config.bits) - F.when(other == 0, 0).otherwise(F.length(F.bin(other)))
+    ends = (ranged.select("dim", F.bit_count(other).alias("differ"), same.alias("same")).where("same IS NOT NULL")
+            .groupBy("dim", "differ", "same").agg(F.count("*").alias("n")))
+    counted = (ends.join(centres.select("dim", F.round("shared", 2).alias("shared")), "dim")
+               .groupBy("shared", "differ", "same").agg(F.sum("n").alias("n")).collect())
+    return [(r["shared"], 0 if r["differ"] < config.bits * config.apart(r["shared"]) else r["same"] + 1, r["n"]) for r in counted]
 
 
 def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -113,13 +168,16 @@ def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
     return kept
 
 
-def _pass_links(ws: Workspace, distinct: DataFrame, config: ProjectionConfig, passes: int) -> DataFrame:
-    """(a, b): verified pairs that hold together what the windows of all passes link."""
-    order = ["pass", "dim", "key", "node"]
+def _ranged_keys(ws: Workspace, distinct: DataFrame, centres: DataFrame, config: ProjectionConfig, first: int,
+                 last: int) -> DataFrame:
     parts = max(1, int(ws.spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = (_keys(distinct, config, passes).repartitionByRange(parts, *order)
+    ranged = (_keys(distinct, centres, config, first, last).repartitionByRange(parts, "pass", "dim", "key", "node")
               .withColumn("part", F.spark_partition_id()))
-    ranged = ws.table(ranged, "keys")
+    return ws.table(ranged, "keys")
+
+
+def _pass_links(ws: Workspace, distinct: DataFrame, ranged: DataFrame, config: ProjectionConfig) -> DataFrame:
+    """(a, b): verified pairs that hold together what the windows of the passes in ``ranged`` link."""
     inside = Window.partitionBy("part", "pass", "dim").orderBy("key", "node")
     before = (ranged.groupBy("part", "pass", "dim").agg(F.count("*").alias("n"))
               .withColumn("base", F.sum("n").over(Window.partitionBy("pass", "dim").orderBy("part")) - F.col("n")).drop("n"))
@@ -198,7 +256,16 @@ def near_vectors(vectors: DataFrame, config: ProjectionConfig = ProjectionConfig
         rows.where("digest IS NOT NULL").groupBy("digest")
         .agg(F.min("vec_id").alias("least"), F.first("dim").alias("dim"), F.first("data").alias("data"), F.count("*").alias("n"))
         .withColumn("node", F.monotonically_increasing_id()), "distinct")
-    links = _pass_links(ws, distinct, config, config.passes(distinct.count()))
+    centres = _centres(ws, distinct)
+    ranged = _ranged_keys(ws, distinct, centres, config, 0, config.least_passes)
+    passes = config.passes(_spans(ranged, centres, config))
+    found = [_pass_links(ws, distinct, ranged, config)]
+    ws.drop(ranged)
+    if passes > config.least_passes:
+        ranged = _ranged_keys(ws, distinct, centres, config, config.least_passes, passes)
+        found.append(_pass_links(ws, distinct, ranged, config))
+        ws.drop(ranged)
+    links = found[0] if len(found) == 1 else found[0].union(found[1])
     labels = ws.table(components(ws, links), "labels")
     members = labels.join(distinct, "node").select("component", "node", "data", "n", "least")
     others = _count_links(ws, members.drop("least"), config)
@@ -207,7 +274,7 @@ def near_vectors(vectors: DataFrame, config: ProjectionConfig = ProjectionConfig
     groups = ws.table(distinct.join(named, "node", "left").select(
         "digest", F.coalesce("first", "least").alias("component_id"),
         (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links")), "groups")
-    ws.drop(links)
+    ws.drop(*found)
     return rows.select("vec_id", "digest").join(groups, "digest", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", F.when(F.col("digest").isNull(), F.col("vec_id"))).alias("component_id"),

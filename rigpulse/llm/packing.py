@@ -106,7 +106,8 @@ def pack(pieces: DataFrame, most: int = WINDOW, group_pieces: int = GROUP_PIECES
     """``pieces`` (doc_id, start, length and others) with sequence_id and offset.
 
     Within a sequence the pieces follow each other from offset 0 without gaps. Ties in length go by doc_id, then start;
-    repeated rows are pieces of their own. No pieces, no sequences.
+    repeated rows are pieces of their own. No pieces, no sequences. ``pieces`` is a stored table: they are dealt into
+    groups by their place in it, so that pieces without an id or with the same one are spread like all others.
     """
     total = pieces.count()
     groups = max(1, -(-total // group_pieces))
@@ -120,7 +121,7 @@ def pack(pieces: DataFrame, most: int = WINDOW, group_pieces: int = GROUP_PIECES
                 .append_column("offset", pa.array(offsets, pa.int64())))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in width)
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", F.lit(5)), F.lit(groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(5)), F.lit(groups)))
     return dealt.groupBy("_group").applyInArrow(run, f"{fields}, sequence_id long, offset long")
 
 

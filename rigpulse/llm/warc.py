@@ -153,15 +153,18 @@ def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """(page_id, url, payload, refers_to): null html is empty; refers_to is null for responses.
 
     Of equal payloads of at least ``least`` bytes the largest page_id is the response. Repeated rows of that id are all
-    responses; rows without an id refer to it, or are responses if no row of the group has one.
+    responses; rows without an id refer to it, or are responses if no row of the group has one. Shorter payloads have no
+    group and stay out of the join.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.when(F.length("payload") >= least, F.sha1("payload")))
-    groups = (rows.where("digest IS NOT NULL").groupBy("digest")
-              .agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last"))
-    return rows.join(groups, "digest", "left").select(
-        "page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+    long = rows.where(F.length("payload") >= least).withColumn("digest", F.sha1("payload"))
+    groups = (long.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
+              .where("n > 1").select("digest", "last"))
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
+    named = long.join(groups, "digest", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    short = rows.where(F.length("payload") < least)
+    return named.union(short.select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to")))
 
 
 def write_archives(rows: DataFrame, ws: Workspace) -> DataFrame:

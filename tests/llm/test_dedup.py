@@ -1,6 +1,7 @@
 """Near-duplicate and repeat operators against brute force, with odd rows."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -161,3 +162,31 @@ def test_empty_tables(spark):
     assert repeats.remove_repeats(empty).count() == 0
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.near_vectors(none).count() == 0
+
+
+def _vectors(kind: str, n: int = 5000, dim: int = 64) -> np.ndarray:
+    """Vectors with a given mean cosine or in clusters, a tenth of them near another one."""
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    own = unit(rng.standard_normal((n, dim)))
+    if kind == "clusters":
+        made = unit(unit(rng.standard_normal((25, dim)))[rng.integers(0, 25, n)] * 0.9 + own * 0.43)
+    else:
+        made = unit(math.sqrt(float(kind)) * unit(rng.standard_normal((1, dim))) + math.sqrt(1 - float(kind)) * own)
+    near = made[rng.integers(0, n, n // 10)]
+    angle = np.arccos(0.9) * rng.random((len(near), 1))
+    side = rng.standard_normal(near.shape)
+    side = unit(side - (side * near).sum(1, keepdims=True) * near)
+    return np.concatenate([made, np.cos(angle) * near + np.sin(angle) * side])
+
+
+@pytest.mark.parametrize("kind", ["0", "0.6", "0.8", "clusters"])
+def test_linked_vectors_are_found(spark, kind):
+    """At least 95 % of the pairs at the threshold end in one component, whatever direction the vectors share."""
+    x = _vectors(kind)
+    got = embedding_dedup.near_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    named = dict(got.select("vec_id", "component_id").collect())
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+    together = np.mean([named[i] == named[j] for i, j in zip(a.tolist(), b.tolist())])
+    assert len(a) >= 500 and together >= 0.95, (len(a), together)
+    print(kind, len(a), together)

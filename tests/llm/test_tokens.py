@@ -178,3 +178,14 @@ def test_damaged_archives():
         with pytest.raises(ValueError):
             packer = zlib.compressobj(wbits=31)
             list(warc.records(io.BytesIO(packer.compress(broken) + packer.flush())))
+
+
+def test_pieces_without_an_id_are_spread(spark):
+    """Pieces of one id or of none fill groups of the wanted size, and every sequence stays gapless."""
+    pieces = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("start"),
+                                      (F.col("id") % 90 + 1).alias("length"))
+    rows = packing.pack(pieces, 128, 500).withColumn("g", F.shiftright("sequence_id", packing._GROUP_BITS))
+    sizes = [r["count"] for r in rows.groupBy("g").count().collect()]
+    assert len(sizes) == 12 and sum(sizes) == 6000 and max(sizes) < 700
+    filled = rows.groupBy("sequence_id").agg(F.sum("length").alias("total"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert filled.where("total <> end OR total > 128").count() == 0
