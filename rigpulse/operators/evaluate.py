@@ -10,52 +10,45 @@ from pyspark.sql import functions as F
 from rigpulse.functions.quantiles import group_quantiles
 from rigpulse.operators.labels import in_horizon
 from rigpulse.operators.stats import with_constants
+from rigpulse.session import materialize
 
 EVENT = ("asset_id", "event_dt")
-_BUCKETS = 64
 
 
 def ranked_scores(df: DataFrame, score: str = "proba", target: str = "target") -> DataFrame:
     """One row per distinct score: positives and negatives at it (p, n) and from the top down to it (tp, fp).
 
-    ``position`` counts distinct scores from the lowest. Scores are ordered inside buckets between
-    sketched quantiles; bucket totals carry the sums across, so no task sorts all scores.
+    ``position`` counts distinct scores from the lowest; ``scores``, ``all_p`` and ``all_n`` are the totals. ``df`` is
+    read once: its distinct scores are dealt into ranges, as many as the shuffle has partitions, and written with the
+    number of their range. The totals of the ranges carry the running sums, and each range is ordered by itself.
     """
     groups = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(target) == 1).alias("p"), F.count_if(F.col(target) == 0).alias("n"))
-    grid = [i / _BUCKETS for i in range(1, _BUCKETS)]
-    edges = groups.agg(F.percentile_approx("score", grid, 1000).alias("e")).scalar()
-    placed = groups.withColumn("_edges", edges).withColumn(
-        "bucket", F.size(F.filter("_edges", lambda e: e < F.col("score")))).drop("_edges")
-    totals = placed.groupBy("bucket").agg(
-        F.sum("p").alias("bp"), F.sum("n").alias("bn"), F.count(F.lit(1)).alias("bm"))
-    above = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    below = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = materialize(groups.repartitionByRange("score").withColumn("range", F.spark_partition_id()))
+    totals = ranged.groupBy("range").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.orderBy("range").rowsBetween(1, Window.unboundedFollowing)
+    everything = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     zero = F.lit(0)
+    # one row for each range: no more than the shuffle has partitions
     carried = totals.select(
-        "bucket", F.coalesce(F.sum("bp").over(above), zero).alias("p_above"),
-        F.coalesce(F.sum("bn").over(above), zero).alias("n_above"),
-        F.coalesce(F.sum("bm").over(below), zero).alias("m_below"))
-    # one row per bucket: at most 64
-    down = Window.partitionBy("bucket").orderBy(F.col("score").desc())
-    up = Window.partitionBy("bucket").orderBy("score")
-    return (placed.withColumn("_tp", F.sum("p").over(down)).withColumn("_fp", F.sum("n").over(down))
-            .withColumn("_up", F.row_number().over(up)).join(F.broadcast(carried), "bucket")
+        "range", F.coalesce(F.sum("p").over(after), zero).alias("p_above"),
+        F.coalesce(F.sum("n").over(after), zero).alias("n_above"),
+        F.coalesce(F.sum("m").over(before), zero).alias("m_below"),
+        F.sum("p").over(everything).alias("all_p"), F.sum("n").over(everything).alias("all_n"),
+        F.sum("m").over(everything).alias("scores"))
+    up = Window.partitionBy("range").orderBy("score")
+    down = up.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return (ranged.withColumn("_tp", F.sum("p").over(down)).withColumn("_fp", F.sum("n").over(down))
+            .withColumn("_up", F.row_number().over(up)).join(carried, "range")
             .select("score", "p", "n", (F.col("p_above") + F.col("_tp")).alias("tp"),
                     (F.col("n_above") + F.col("_fp")).alias("fp"),
-                    (F.col("m_below") + F.col("_up") - 1).alias("position")))
-
-
-def _with_totals(df: DataFrame, score: str, target: str) -> DataFrame:
-    totals = df.where(F.col(score).isNotNull()).agg(
-        F.count_if(F.col(target) == 1).alias("all_p"), F.count_if(F.col(target) == 0).alias("all_n"),
-        F.count_distinct(score).alias("scores"))
-    return with_constants(ranked_scores(df, score, target), totals)
+                    (F.col("m_below") + F.col("_up") - 1).alias("position"), "all_p", "all_n", "scores"))
 
 
 def roc_auc(df: DataFrame, score: str = "proba", target: str = "target") -> DataFrame:
     """Share of (positive, negative) pairs in the right order; ties count one half."""
-    ranked = _with_totals(df, score, target)
+    ranked = ranked_scores(df, score, target)
     negatives_below = F.col("all_n") - F.col("fp")
     won = F.sum((negatives_below + F.col("n") / 2) * F.col("p"))
     pairs = F.max(F.col("all_p").cast("double") * F.col("all_n"))
@@ -64,14 +57,14 @@ def roc_auc(df: DataFrame, score: str = "proba", target: str = "target") -> Data
 
 def average_precision(df: DataFrame, score: str = "proba", target: str = "target") -> DataFrame:
     """Sum over thresholds of recall gained times precision."""
-    ranked = _with_totals(df, score, target)
+    ranked = ranked_scores(df, score, target)
     step = F.try_divide(F.col("p").cast("double"), F.col("all_p"))
     return ranked.agg(F.sum(step * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("average_precision"))
 
 
 def pr_curve(df: DataFrame, score: str = "proba", target: str = "target") -> DataFrame:
     """Precision and recall of every threshold, ``position`` 0 being the lowest."""
-    return _with_totals(df, score, target).select(
+    return ranked_scores(df, score, target).select(
         "position", F.col("score").alias("threshold"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
         F.try_divide(F.col("tp").cast("double"), F.col("all_p")).alias("recall"))
@@ -83,7 +76,7 @@ def pr_curve_at(df: DataFrame, shares: Sequence[float] = (0.01, 0.05, 0.1), scor
 
     The curve is one point longer than its thresholds.
     """
-    curve = _with_totals(df, score, target)
+    curve = ranked_scores(df, score, target)
     wanted = F.array(*[F.struct(F.lit(k).alias("share"), F.floor((F.col("scores") + 1) * F.lit(k)).alias("at"))
                        for k in shares])
     hit = curve.withColumn("_hit", F.filter(wanted, lambda w: w["at"] == F.col("position")))
@@ -94,7 +87,7 @@ def pr_curve_at(df: DataFrame, shares: Sequence[float] = (0.01, 0.05, 0.1), scor
 def precision_at_top(df: DataFrame, shares: Sequence[float] = (0.01, 0.05, 0.1), score: str = "proba",
                      target: str = "target") -> DataFrame:
     """Precision among the best-scored share of rows; rows tied with the last one count too."""
-    curve = _with_totals(df, score, target)
+    curve = ranked_scores(df, score, target)
     taken = F.col("tp") + F.col("fp")
     rows = F.col("all_p") + F.col("all_n")
     best = [F.min_by(F.struct(F.lit(k).alias("share"), (F.col("tp") / taken).alias("precision")),

@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from rigpulse.config import EpisodeConfig, min_rows, rows_in_window
 from rigpulse.functions.columns import col, motion_regime, sure, work_regime
 from rigpulse.functions.quantiles import group_quantiles
+from rigpulse.functions.ranks import RangeOrder
 from rigpulse.functions.series import Series, gated, number_rows, over_rows, staged_over_rows, with_previous
 from rigpulse.schemas import EXCAVATOR_SENSORS
 
@@ -84,43 +85,14 @@ def additional_features(df: DataFrame, series: Series = EXCAVATOR) -> DataFrame:
     return interaction_features(rolling(lagged, series, TRAILING)).drop("_row").na.drop("any")
 
 
-def kth_smallest(ranks: np.ndarray, low: np.ndarray, high: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The ``k``-th smallest (from 0) of ``ranks[low:high]`` for every query; each range holds more than ``k``.
-
-    The ranks, a permutation, are split by one bit at a time from the highest, keeping their order, and every range
-    follows its answer into one half: n log n whatever the length of the ranges.
-    """
-    low, high, k = low.copy(), high.copy(), k.copy()
-    found = np.zeros(len(k), np.int64)
-    for bit in range(max(1, len(ranks).bit_length()) - 1, -1, -1):
-        ones = (ranks >> bit) & 1 == 1
-        before = np.concatenate([[0], np.cumsum(~ones)])
-        zeros_low, zeros_high = before[low], before[high]
-        up = k >= zeros_high - zeros_low
-        k = np.where(up, k - (zeros_high - zeros_low), k)
-        low = np.where(up, before[-1] + low - zeros_low, zeros_low)
-        high = np.where(up, before[-1] + high - zeros_high, zeros_high)
-        found |= up.astype(np.int64) << bit
-        ranks = np.concatenate([ranks[~ones], ranks[ones]])
-    return found
-
-
 def sliding_medians(values: np.ndarray, known: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ma.MaskedArray:
     """Median of the known values in ``values[first:end]`` for every pair of bounds; masked where none is known."""
     count = np.concatenate([[0], np.cumsum(known)])
     low, high = count[first], count[end]
-    size = high - low
-    some = size > 0
-    x = values[known]
-    order = np.argsort(x, kind="stable")
-    ranks = np.empty(len(x), np.int64)
-    ranks[order] = np.arange(len(x))
+    some = high > low
     made = np.ma.masked_all(len(first), np.float64)
     if some.any():
-        low, high, size = low[some], high[some], size[some]
-        left = x[order[kth_smallest(ranks, low, high, (size - 1) // 2)]]
-        right = x[order[kth_smallest(ranks, low, high, size // 2)]]
-        made[some] = np.where(left == right, left, left * 0.5 + right * 0.5)
+        made[some] = RangeOrder(values[known]).medians(low[some], high[some])
     return made
 
 

@@ -13,6 +13,7 @@ from rigpulse.operators.episodes import assign_episode_id, episode_intervals
 from rigpulse.operators.impute import fill_forward_backward, interpolate_linear
 from rigpulse.operators.joins import attach_trips, next_event_asof
 from rigpulse.operators.resample import resample_means
+from rigpulse.functions.ranks import RangeOrder
 from rigpulse.operators.rolling import rolling, sampling_step, sliding_features, sliding_medians, time_rolling
 
 T0 = datetime(2024, 1, 1)
@@ -170,6 +171,20 @@ def test_sliding_medians():
             assert made.mask[i] if not len(inside) else made[i] == np.median(inside)
 
 
+def test_range_order():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 8, 65, 1000):
+        values = rng.integers(-9, 9, n) / 8.0 if n % 2 else rng.normal(size=n)
+        low = rng.integers(0, n, 300)
+        high = low + 1 + rng.integers(0, n - low)
+        order = RangeOrder(values)
+        medians = order.medians(low, high)
+        distances = order.deviations(low, high, medians)
+        for a, b, m, d in zip(low, high, medians, distances):
+            assert m == np.median(values[a:b])
+            assert d == np.median(np.abs(values[a:b] - m))
+
+
 @pytest.mark.parametrize("at_once", [5, 1 << 16])
 def test_time_rolling_medians(spark, at_once):
     """Ties in time, nulls, a lone machine, rows without a time, against a plain loop."""

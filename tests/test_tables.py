@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from rigpulse import schemas
 from rigpulse.config import EpisodeConfig
 from rigpulse.functions.columns import parse_ts, round_ts
 from rigpulse.operators import evaluate, impute, labels, quality, shaping
-from rigpulse.operators.episodes import episode_baseline, episode_contributions, three_digits
+from rigpulse.operators.episodes import baseline_statistics, episode_baseline, episode_contributions, three_digits
 from rigpulse.operators.joins import alert_rows
 from rigpulse.operators.rolling import label_regime
 from rigpulse.operators.stats import standardize
@@ -212,3 +213,37 @@ def test_baseline_levels(spark):
     assert found == {(1, 3): 9, (2, 1): 4, (3, 2): 6}
     top = episode_contributions(points, episodes, features=["v"]).where("episode_id = 2").first()
     assert top["baseline_median"] == 1.5 and top["episode_median"] == 4.0 and top["direction"] == "up"
+
+
+def test_baseline_statistics_against_a_loop(spark):
+    """An episode each hour, nulls, ties, another machine, a gap of weeks, episodes before any reading."""
+    rng = np.random.default_rng(8)
+    hours = [*range(0, 400), *range(1500, 1700)]
+    rows = [(m, T0 + timedelta(hours=h, minutes=int(rng.integers(0, 30))), "r" if rng.random() < 0.7 else None if rng.random() < 0.1 else "s",
+             float(rng.integers(0, 40)) if rng.random() < 0.9 else None, float(rng.normal()) if m == "a" else None, 0)
+            for m in ("a", "b") for h in hours]
+    points = spark.createDataFrame(rows, "excavator_id string, timestamp timestamp, regime string, v double, w double, episode_id int")
+    asked = [(m, i + 1, r, T0 + timedelta(hours=int(h))) for m, r in (("a", "r"), ("a", "s"), ("b", "r"), ("c", "r"))
+             for i, h in enumerate(range(-3, 1750, 7))]
+    episodes = spark.createDataFrame(asked, "excavator_id string, episode_id int, regime string, start_ts timestamp")
+    made = {(r["excavator_id"], r["regime"], r["episode_id"]): r for r in baseline_statistics(
+        points, episodes.where("regime = 'r'"), features=["v", "w"]).withColumn("regime", F.lit("r")).unionByName(baseline_statistics(
+            points, episodes.where("regime = 's'"), features=["v", "w"]).withColumn("regime", F.lit("s"))).collect()}
+    expected = 0
+    for machine, episode, regime, start in asked:
+        own = [r for r in rows if r[0] == machine and r[2] == regime]
+        before = [r for r in own if r[1] < start]
+        near = [r for r in before if r[1] >= start - timedelta(days=7)]
+        chosen = near or before or own
+        if not chosen:
+            assert (machine, regime, episode) not in made
+            continue
+        expected += 1
+        found = made[machine, regime, episode]
+        assert found["level"] == (1 if near else 2 if before else 3)
+        for name, at in (("v", 3), ("w", 4)):
+            x = np.array([r[at] for r in chosen if r[at] is not None])
+            middle = float(np.median(x)) if len(x) else None
+            assert found[f"{name}_median"] == (pytest.approx(middle) if len(x) else None)
+            assert found[f"{name}_mad"] == pytest.approx(max(1.4826 * float(np.median(np.abs(x - middle))), 1e-9) if len(x) else 1e-9)
+    assert len(made) == expected
