@@ -167,6 +167,6 @@ def staged_over_rows(
     return result if ROW in df.columns else result.drop(ROW)
 
 
-def gated(aggregate: Column, counted: Column, window: WindowSpec, least: int) -> Column:
+def gated(aggregate: Column, counted: Column, window: WindowSpec, least: int | Column) -> Column:
     """``aggregate`` over the frame, null while the frame holds fewer than ``least`` known values."""
     return F.when(F.count(counted).over(window) >= least, aggregate.over(window))

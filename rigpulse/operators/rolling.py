@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -16,7 +15,7 @@ from rigpulse.config import EpisodeConfig, min_rows, rows_in_window
 from rigpulse.functions.columns import col, motion_regime, sure, work_regime
 from rigpulse.functions.quantiles import group_quantiles
 from rigpulse.functions.ranks import RangeOrder
-from rigpulse.functions.series import Series, gated, number_rows, over_rows, staged_over_rows, with_previous
+from rigpulse.functions.series import BLOCK, ROW, Series, gated, number_rows, over_rows, staged_over_rows, with_previous
 from rigpulse.schemas import EXCAVATOR_SENSORS
 
 EXCAVATOR = Series(("excavator_id",))
@@ -176,48 +175,51 @@ def sampling_step(df: DataFrame, series: Series = EXCAVATOR) -> DataFrame:
     return machines.join(typical, list(series.keys), "left").select(*series.keys, step.alias("step"))
 
 
-def distinct_steps(steps: DataFrame) -> list[int]:
-    """The sampling steps in use: whole numbers from 1 to 60, so at most 60."""
-    return sorted(r["step"] for r in steps.select("step").distinct().collect())
+def _frames(series: Series, seconds: float) -> tuple[Column, WindowSpec, WindowSpec]:
+    """Rows in ``seconds`` at the machine's ``step``, the frame of so many rows up to this one, the one row before that frame.
+
+    Frames take literal bounds, but a window has more rows the finer the step. So row numbers are scaled: with at most
+    ``most`` rows in a window, a row counts ``most * (most + 1) div rows``, and a window of any step spans the same range.
+    Steps are whole seconds, at least 1.
+    """
+    most = rows_in_window(seconds, 1)
+    whole = most * (most + 1)
+    rows = F.greatest(F.lit(2), F.bround(F.lit(float(seconds)) / F.col("step")).cast("long"))
+    scaled = F.col(ROW) * F.floor(F.lit(float(whole)) / rows).cast("long")
+    order = Window.partitionBy(*series.keys, BLOCK).orderBy(scaled)
+    return rows, order.rangeBetween(-(whole - most - 1), 0), order.rangeBetween(-whole, -(whole - most))
 
 
-def per_step(df: DataFrame, build) -> DataFrame:
-    """Frame lengths must be literals, so each step (a column ``step``) gets its own branch."""
-    parts = [build(df.where(F.col("step") == s), s) for s in distinct_steps(df)]
-    return reduce(DataFrame.unionByName, parts)
+def _least(rows: Column) -> Column:
+    """Rows a window must hold before it yields a value, as ``min_rows``."""
+    return F.greatest(F.lit(2), F.floor(rows / F.lit(3)).cast("long"))
 
 
 def sliding_features(df: DataFrame, cfg: EpisodeConfig, series: Series = EXCAVATOR,
                      columns: Sequence[str] = tuple(EXCAVATOR_SENSORS)) -> DataFrame:
     """Mean, std, min, max, change mean, change std and slope of each sensor in each window.
 
-    ``df`` needs a column ``step``; it is read once per distinct step.
+    ``df`` needs a column ``step``; machines of all steps share one plan.
     """
-    return per_step(df, lambda part, step: _sliding(part, cfg, series, columns, step))
-
-
-def _sliding(df: DataFrame, cfg: EpisodeConfig, series: Series, columns: Sequence[str], step: int) -> DataFrame:
-    widths = {s: rows_in_window(s, step) for s in cfg.win_seconds}
-
     def changes(w: WindowSpec) -> list[Column]:
         return [(F.col(c) - F.lag(c).over(w)).alias(f"_d_{c}") for c in columns]
 
     def frames(w: WindowSpec) -> list[Column]:
         made = []
-        for seconds, rows in widths.items():
-            frame = trailing(w, rows)
+        for seconds in cfg.win_seconds:
+            _, frame, before = _frames(series, seconds)
             for c in columns:
                 made += [fn(x).over(frame).alias(f"_{name}_{c}_{seconds}") for name, fn, x in (
                     ("n", F.count, c), ("mean", F.avg, c), ("std", F.stddev_samp, c), ("min", F.min, c),
                     ("max", F.max, c), ("dn", F.count, f"_d_{c}"), ("dmean", F.avg, f"_d_{c}"),
                     ("dstd", F.stddev_samp, f"_d_{c}"))]
-                made.append(F.lag(c, rows).over(w).alias(f"_old_{c}_{seconds}"))
+                made.append(F.first(c).over(before).alias(f"_old_{c}_{seconds}"))
         return made
 
-    wide = staged_over_rows(df, series, max(widths.values()) + 1, [changes, frames])
+    wide = staged_over_rows(df, series, max(rows_in_window(s, 1) for s in cfg.win_seconds) + 1, [changes, frames])
     features = []
-    for seconds, rows in widths.items():
-        least = min_rows(rows)
+    for seconds in cfg.win_seconds:
+        least = _least(_frames(series, seconds)[0])
         for c in columns:
             def when_full(name: str, counter: str, out: str) -> Column:
                 full = F.col(f"_{counter}_{c}_{seconds}") >= least
@@ -244,12 +246,10 @@ def episode_score(df: DataFrame, cfg: EpisodeConfig, series: Series = EXCAVATOR,
     medians = group_quantiles(df, series.keys, {"_median": (F.col(score), 0.5)})
     filled = df.join(medians, list(series.keys), "left").withColumn("_score", F.coalesce(score, "_median"))
 
-    def roll(part: DataFrame, step: int) -> DataFrame:
-        rows = rows_in_window(cfg.agg_minutes * 60, step)
-        return over_rows(part, series, rows, lambda w: [
-            gated(F.avg("_score"), F.col("_score"), trailing(w, rows), min_rows(rows)).alias(name)])
-
-    return per_step(filled, roll).drop("_median", "_score")
+    seconds = cfg.agg_minutes * 60
+    rows, frame, _ = _frames(series, seconds)
+    return over_rows(filled, series, rows_in_window(seconds, 1), lambda w: [
+        gated(F.avg("_score"), F.col("_score"), frame, _least(rows)).alias(name)]).drop("_median", "_score")
 
 
 def anomaly_density(df: DataFrame, rows: int, series: Series = EXCAVATOR, point: str = "anomaly_point") -> DataFrame:

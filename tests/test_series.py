@@ -117,18 +117,19 @@ def test_sampling_step(spark):
 def test_sliding_features_against_a_loop(spark):
     rng = random.Random(1)
     rows = [(m, T0 + timedelta(seconds=step * i), i, None if rng.random() < 0.2 else rng.uniform(0, 9), step)
-            for m, step in (("x", 5), ("y", 10)) for i in range(40)]
+            for m, step in (("x", 5), ("y", 10), ("fine", 1), ("odd", 7), ("half", 12), ("coarse", 60)) for i in range(40)]
     df = spark.createDataFrame(rows, "m string, ts timestamp, i int, v double, step int")
     made = sliding_features(df, EpisodeConfig(win_seconds=(30,)), FINE, ["v"])
     points = per_machine(made, "v", "v_mean_30s", "v_diff_std_30s", "v_slope_30s")
-    for m, w in (("x", 6), ("y", 3)):
+    for m, w in (("x", 6), ("y", 3), ("fine", 30), ("odd", 4), ("half", 2), ("coarse", 2)):
+        least = min_rows(w)
         values = [p[0] for p in points[m]]
         changes = [None if i == 0 or values[i] is None or values[i - 1] is None else values[i] - values[i - 1] for i in range(40)]
         for i, (_, mean, spread, slope) in enumerate(points[m]):
             frame = [v for v in values[max(0, i - w + 1): i + 1] if v is not None]
             moved = [v for v in changes[max(0, i - w + 1): i + 1] if v is not None]
-            assert mean == (pytest.approx(np.mean(frame)) if len(frame) >= 2 else None)
-            assert spread == (pytest.approx(np.std(moved, ddof=1)) if len(moved) >= 2 else None)
+            assert mean == (pytest.approx(np.mean(frame)) if len(frame) >= least else None)
+            assert spread == (pytest.approx(np.std(moved, ddof=1)) if len(moved) >= least else None)
             old = values[i - w] if i >= w else None
             assert slope == (None if old is None or values[i] is None else pytest.approx((values[i] - old) / 30))
 
@@ -171,6 +172,14 @@ def test_sliding_medians():
             assert made.mask[i] if not len(inside) else made[i] == np.median(inside)
 
 
+def test_one_plan_for_all_steps(spark):
+    def windows(steps):
+        df = spark.createDataFrame([(str(s), T0, s, 1.0, s) for s in steps], "m string, ts timestamp, i int, v double, step int")
+        plan = sliding_features(df, EpisodeConfig(win_seconds=(30, 60)), FINE, ["v"])._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("Window [")
+    assert windows([5]) == windows(range(1, 31)) > 0
+
+
 def test_range_order():
     rng = np.random.default_rng(5)
     for n in (1, 2, 3, 8, 65, 1000):
