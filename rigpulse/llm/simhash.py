@@ -12,13 +12,14 @@ Fingerprints are made distinct before the join, so exact copies, however many, e
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rigpulse.llm.common import Workspace, components, slices
 
@@ -60,16 +61,26 @@ def _votes(shingles: list[bytes]) -> tuple[int, np.ndarray]:
     return len(hashes), np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp): the fingerprint of each row's whole text as a signed long; null and empty texts have 0."""
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3,
+                 carry: Sequence[str] = ()) -> DataFrame:
+    """(id, fp): the fingerprint of each row's whole text as a signed long; null and empty texts have 0.
+
+    The columns ``carry`` follow as ``_c0``, ``_c1``, and so on.
+    """
+    others = [f"_c{k}" for k in range(len(carry))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
             found = [fingerprint(x.as_py(), width) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]],
+                                             names=["id", "fp", *others])
 
     chosen = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"),
-                         F.col(f"`{text_column}`").cast("string").alias("text"))
-    return chosen.mapInArrow(run, "id long, fp long")
+                         F.col(f"`{text_column}`").cast("string").alias("text"),
+                         *(F.col(f"`{c}`").alias(o) for c, o in zip(carry, others)))
+    schema = StructType([StructField("id", LongType()), StructField("fp", LongType())]
+                        + [StructField(o, docs.schema[c].dataType) for c, o in zip(carry, others)])
+    return chosen.mapInArrow(run, schema)
 
 
 def near_fingerprints(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
@@ -98,7 +109,9 @@ def _signed(value: int) -> int:
 
 def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3,
                    max_bits: int = 3) -> DataFrame:
-    """One row per row of ``docs``: id, fp, component_id (the smallest id that links reach, its own included).
+    """One row per row of ``docs``: id, fp, component_id (the smallest id that links reach, its own included), component.
+
+    ``component`` tells apart the components of one smallest id, which a repeated id can have: it is a fingerprint in it.
 
     Null and empty texts have fingerprint 0 and are linked like any other. Rows with equal fingerprints (repeated rows
     too) are linked. A null id takes part in the links but is nobody's smallest; the component of a group without any
@@ -111,17 +124,27 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     named = distinct.join(labels, distinct["fp"] == labels["node"], "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    groups = ws.table(named.join(smallest, "component").select("fp", "component_id"), "groups")
+    groups = ws.table(named.join(smallest, "component").select("fp", "component_id", "component"), "groups")
     ws.drop(distinct)
-    return marked.join(groups, "fp").select("id", "fp", "component_id")
+    return marked.join(groups, "fp").select("id", "fp", "component_id", "component")
 
 
-def keep_one(docs: DataFrame, groups: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, one for each id.
+def keep_one(docs: DataFrame, groups: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+             width: int = 3) -> DataFrame:
+    """One row of ``docs`` for each component in ``groups`` (of the same rows and ``width``), one that has its smallest id.
 
-    Repeated rows of one id are copies: one stays. Rows without an id cannot be named and stay.
+    Rows that share an id are copies only if they share a component as well; of those the first by fingerprint, then by a
+    hash of the row, stays. The fingerprint is computed again for repeated ids alone. Rows without an id cannot be named
+    and stay.
     """
-    keepers = groups.where("id = component_id").select(F.col("id").alias("_keep")).distinct()
-    named = docs.where(F.col(f"`{id_column}`").isNotNull())
-    stay = named.join(keepers, named[f"`{id_column}`"] == keepers["_keep"], "left_semi").dropDuplicates([id_column])
-    return stay.union(docs.where(F.col(f"`{id_column}`").isNull()))
+    ids = groups.where("id IS NOT NULL").groupBy(F.col("id").alias("_named")).agg(
+        F.count(F.lit(1)).alias("_n"), F.max(F.col("id") == F.col("component_id")).alias("_own"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),
+                       F.col(f"`{id_column}`").cast("long").alias("_id"), F.col(f"`{text_column}`").alias("_text"))
+    own = rows.join(ids.where("_own"), F.col("_id") == F.col("_named"))
+    single, several = own.where("_n = 1").select("_row"), own.where("_n > 1")
+    marked = fingerprints(several, "_id", "_text", width, ("_row",))
+    places = groups.where("id = component_id").select("id", "fp", "component").distinct()
+    first = F.min_by("_c0", F.struct("fp", F.xxhash64(F.to_json(F.struct("_c0")))))
+    copies = marked.join(places, ["id", "fp"]).groupBy("id", "component").agg(first.alias("_row")).select("_row")
+    return single.union(copies).union(rows.where("_id IS NULL").select("_row")).select("_row.*")

@@ -72,6 +72,17 @@ def test_simhash_is_brute_force(spark):
     assert sum(r["doc_id"] is None for r in kept) == 2
 
 
+def test_keep_one_loses_no_other_text_of_an_id(spark):
+    draw = random.Random(12)
+    a, b, c, d = (" ".join("".join(draw.choices("abcdefgh", k=6)) for _ in range(80)) for _ in range(4))
+    rows = [(5, a), (5, b), (5, a), (9, a), (9, c), (12, c), (12, d), (12, d), (None, a), (None, None)]
+    docs = frame(spark, rows).repartition(5)
+    kept = simhash.keep_one(docs, simhash.simhash_groups(docs))
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(
+        [(5, a), (5, b), (9, c), (12, d), (None, a), (None, None)], key=str)
+
+
 def test_variants_find_every_near_pair(spark):
     draw = random.Random(5)
     marks = {draw.getrandbits(64) for _ in range(60)}
