@@ -11,7 +11,8 @@ from rigpulse.config import EpisodeConfig
 from rigpulse.functions.columns import parse_ts, round_ts
 from rigpulse.operators import evaluate, impute, labels, quality, shaping
 from rigpulse.operators.episodes import baseline_statistics, episode_baseline, episode_contributions, three_digits
-from rigpulse.operators.joins import alert_rows
+from rigpulse.operators.joins import alert_rows, merge_window_features
+from rigpulse.operators.resample import TRUCK_KEYS, resample
 from rigpulse.operators.rolling import label_regime
 from rigpulse.operators.stats import standardize
 from rigpulse.plans import ingest
@@ -247,3 +248,17 @@ def test_baseline_statistics_against_a_loop(spark):
             assert found[f"{name}_median"] == (pytest.approx(middle) if len(x) else None)
             assert found[f"{name}_mad"] == pytest.approx(max(1.4826 * float(np.median(np.abs(x - middle))), 1e-9) if len(x) else 1e-9)
     assert len(made) == expected
+
+
+def test_merged_spine_is_not_broadcast(spark):
+    """A planner that takes a span of bins for a row would send all of them through the driver."""
+    fuel = resample(spark.createDataFrame([(1, 1, T0 - timedelta(days=20 * 365), 1.0), (1, 1, T0, 2.0)],
+                                          "asset_id int, mdm_object_name int, timestamp timestamp, fuel double"),
+                    TRUCK_KEYS, "timestamp", 900, [F.max("fuel").alias("fuel")])
+    base = spark.range(5000).select(F.lit(1).alias("asset_id"), F.lit(1).alias("mdm_object_name"),
+                                    (F.lit(T0) - F.make_dt_interval("id")).alias("timestamp"))
+    merged = merge_window_features(base, fuel)
+    rows = merged.collect()
+    assert len(rows) == 5000 and [r["fuel"] for r in rows if r["fuel"] is not None] == [2.0]
+    plan = merged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in plan.split("Generate")[0]
