@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rigpulse.config import EpisodeConfig, min_rows, rows_in_window
-from rigpulse.functions.series import Series, number_rows, with_previous
+from rigpulse.functions.series import Series, nearest_known, number_rows, with_previous
 from rigpulse.operators.episodes import assign_episode_id, episode_intervals
+from rigpulse.operators.evaluate import ranked_scores
 from rigpulse.operators.impute import fill_forward_backward, interpolate_linear
 from rigpulse.operators.joins import attach_trips, next_event_asof
 from rigpulse.operators.resample import resample_means
@@ -222,3 +223,21 @@ def test_open_trips(spark):
         inside = [n for n, m, s, e in trips if t and e and m == machine and s <= t < e]
         expected += [(i, n) for n in inside] or [(i, None)]
     assert sorted(((r["id"], r["trip"]) for r in made.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_frames_grow(spark):
+    """Frames that shrink are computed anew for every row, so none may run from a row to the end of its part."""
+    series = Series(("m",), "t", ("i",), chunk_seconds=100)
+    rows = [(i, "a" if i % 3 else "b", T0 + timedelta(seconds=i // 2), None if i % 7 else float(i)) for i in range(600)]
+    df = spark.createDataFrame(rows, "i int, m string, t timestamp, v double")
+    near = nearest_known(df, series, {"v": F.col("v")})
+    events = df.where("v is not null and i % 4 = 0").select("m", F.col("t").alias("event_dt"))
+    ahead = next_event_asof(df.drop("v"), events, ("m",), "t", "event_dt", 100)
+    for made in (near, ahead, ranked_scores(df.selectExpr("v as proba", "i % 2 as target"))):
+        assert "currentrow$(), unboundedfollowing$()" not in made._jdf.queryExecution().executedPlan().toString()
+    known = {m: [r for r in rows if r[1] == m and r[3] is not None] for m in "ab"}
+    for r in near.collect():
+        assert r["v_after"] == next((k[3] for k in known[r["m"]] if k[0] >= r["i"]), None)
+        assert r["v_before"] == next((k[3] for k in reversed(known[r["m"]]) if k[0] <= r["i"]), None)
+    for r in ahead.collect():
+        assert r["event_dt"] == next((k[2] for k in known[r["m"]] if k[0] % 4 == 0 and k[2] >= r["t"]), None)
