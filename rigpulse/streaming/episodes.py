@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 _FIELDS = ["kind", "machine", "at", "id", "score", "smooth", "limit", "flag", "start", "points", "peak", "state"]
 _SCHEMA = ("kind string, machine string, at long, id long, score double, smooth double, limit double, flag int, start long, "
            "points long, peak double, state string")
+_READING = {"at": np.int64, "id": np.int64, "score": np.float64, "limit": np.float64}
+PART_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -78,6 +81,40 @@ def receive(state: dict, rows: list[tuple], config: LiveConfig) -> list[dict]:
     return out
 
 
+def receive_parts(state: dict, parts: Iterator[pd.DataFrame], config: LiveConfig) -> Iterator[list[dict]]:
+    """As ``receive`` for a batch of any size: its readings stay in flat arrays, and ``PART_ROWS`` of them at a time become
+    rows. Late readings come first."""
+    taken = [_columns(state["waiting"])]
+    for part in parts:
+        new = [part[c].to_numpy(t, na_value=np.nan) if t is np.float64 else part[c].to_numpy(t) for c, t in _READING.items()]
+        late = new[0] <= state["settled"] if state["settled"] is not None else np.zeros(len(part), bool)
+        if late.any():
+            yield [{"kind": "late", "at": r[0], "id": r[1], "score": r[2], "limit": r[3]} for r in _rows([c[late] for c in new])]
+        taken.append([c[~late] for c in new])
+    held = [np.concatenate(c) for c in zip(*taken)]
+    taken.clear()
+    if not len(held[0]):
+        return
+    newest = int(held[0].max())
+    state["newest"] = newest if state["newest"] is None else max(state["newest"], newest)
+    order = np.lexsort(held[2::-1])
+    ready = int((held[0] <= state["newest"] - config.late_seconds * 1_000_000 - 1).sum())
+    for start in range(0, ready, PART_ROWS):
+        some = order[start:min(start + PART_ROWS, ready)]
+        state["waiting"] = _rows([c[some] for c in held])
+        yield settle(state, None, config.width)
+    state["waiting"] = _rows([c[order[ready:]] for c in held])
+
+
+def _columns(rows: list[tuple]) -> list[np.ndarray]:
+    values = list(zip(*rows)) or [()] * len(_READING)
+    return [np.array([np.nan if x is None else x for x in v], t) for v, t in zip(values, _READING.values())]
+
+
+def _rows(columns: list[np.ndarray]) -> list[tuple]:
+    return [(a, i, s, None if m != m else m) for a, i, s, m in zip(*[c.tolist() for c in columns])]
+
+
 def _frame(machine: str, rows: list[dict]) -> pd.DataFrame:
     columns = {c: [r.get(c) for r in rows] for c in _FIELDS}
     columns["machine"] = [machine] * len(rows)
@@ -98,15 +135,12 @@ class Tracker(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         known = self.held.get() if self.held.exists() else None
         state = json.loads(known[0]) if known else fresh()
-        new = []
-        for part in rows:
-            for at, number, score, limit in zip(part["at"], part["id"], part["score"], part["limit"]):
-                new.append((int(at), int(number), float(score), None if pd.isna(limit) else float(limit)))
         state["waiting"] = [tuple(r) for r in state["waiting"]]
-        out = receive(state, new, self.config)
+        for out in receive_parts(state, rows, self.config):
+            yield _frame(str(key[0]), out)
         text = json.dumps(state)
         self.held.update((text,))
-        yield _frame(str(key[0]), [*out, {"kind": "state", "state": text}])
+        yield _frame(str(key[0]), [{"kind": "state", "state": text}])
 
     def close(self) -> None:
         pass

@@ -1,8 +1,10 @@
 """Stored bundles and live episodes against plain versions."""
 
+import json
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +132,32 @@ def test_out_of_order_and_late_readings(spark, tmp_path):
     got = sorted((r["machine"], r["start_ts"], r["end_ts"], r["points"], r["peak"], r["open"]) for r in found.episodes.collect())
     assert [g[:4] + g[5:] for g in got] == [r[:4] + r[5:] for r in runs]
     assert [g[4] for g in got] == pytest.approx([r[4] for r in runs])
+
+
+def test_large_batch_in_parts():
+    """A batch as large as a machine's history becomes frames of bounded size, equal to taking it whole."""
+    class Held:
+        text = None
+        exists = lambda self: self.text is not None
+        get = lambda self: self.text
+        update = lambda self, text: setattr(self, "text", text)
+
+    rng = np.random.default_rng(4)
+    at = rng.permutation(35_000) * 1_000_000
+    score, limit = rng.normal(size=35_000).round(3), np.where(rng.random(35_000) < 0.1, np.nan, 0.4)
+    rows = pd.DataFrame({"at": at, "id": np.arange(35_000), "score": score, "limit": limit})
+    tracker = episodes.Tracker(episodes.LiveConfig())
+    tracker.held, plain = Held(), episodes.fresh()
+    for batch in (rows[:30_000], rows[30_000:]):
+        made = list(tracker.handleInputRows(("m",), iter([batch[:12_000], batch[12_000:]]), None))
+        assert max(len(f) for f in made) < 25_000
+        wanted = episodes.receive(plain, [(a, i, s, None if np.isnan(m) else m) for a, i, s, m in zip(*(batch[c].tolist() for c in batch))],
+                                  episodes.LiveConfig())
+        found = pd.concat(made).query("kind != 'state'")
+        for kind, fields in (("point", ["at", "id", "score", "smooth", "limit", "flag"]), ("late", ["at", "id", "score", "limit"]),
+                             ("episode", ["start", "at", "points", "peak"])):
+            mine = found.loc[found.kind == kind, fields].astype(float).fillna(-9).to_numpy().tolist()
+            assert mine == [[-9 if r[f] is None else r[f] for f in fields] for r in wanted if r["kind"] == kind]
+        state = json.loads(tracker.held.text[0])
+        assert [tuple(r) for r in state.pop("waiting")] == sorted(plain["waiting"])
+        assert state == {k: list(v) if isinstance(v, tuple) else v for k, v in plain.items() if k != "waiting"}
