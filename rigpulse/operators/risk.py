@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rigpulse.config import RiskConfig
 from rigpulse.schemas import DOMAIN_HINTS
+from rigpulse.session import materialize
 
 
 def with_vector(df: DataFrame, columns: Sequence[str], name: str = "features") -> DataFrame:
@@ -95,15 +96,16 @@ def global_importance(contributions: DataFrame) -> DataFrame:
 
 
 def background_centroids(df: DataFrame, columns: Sequence[str], k: int = 100, seed: int = 42) -> DataFrame:
-    """K-means summary of the data, one row per centre."""
-    model = KMeans(k=k, seed=seed, featuresCol="features").fit(with_vector(df, columns))
+    """K-means summary of the data, one row per centre. The fit reads its rows several times, so they are written once."""
+    rows = materialize(df.select(*columns))
+    model = KMeans(k=k, seed=seed, featuresCol="features").fit(with_vector(rows, columns))
     rows = [(i, *map(float, c)) for i, c in enumerate(model.clusterCenters())]
     fields = ", ".join(["cluster int", *[f"`{c}` double" for c in columns]])
     return df.sparkSession.createDataFrame(rows, fields)
 
 
 def cluster_regimes(df: DataFrame, columns: Sequence[str], k: int = 6, seed: int = 42) -> DataFrame:
-    """Operating regime of each row by K-means over the sensors."""
-    data = with_vector(df, columns)
+    """Operating regime of each row by K-means over the sensors; the rows are written once, as above."""
+    data = with_vector(materialize(df), columns)
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="regime_cluster").fit(data)
     return model.transform(data).drop("features")
