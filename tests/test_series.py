@@ -12,8 +12,8 @@ from rigpulse.functions.series import Series, nearest_known, number_rows, with_p
 from rigpulse.operators.episodes import assign_episode_id, episode_intervals
 from rigpulse.operators.evaluate import ranked_scores
 from rigpulse.operators.impute import fill_forward_backward, interpolate_linear
-from rigpulse.operators.joins import attach_trips, next_event_asof
-from rigpulse.operators.resample import resample_means
+from rigpulse.operators.joins import attach_trips, merge_window_features, next_event_asof
+from rigpulse.operators.resample import resample, resample_means
 from rigpulse.functions.ranks import RangeOrder
 from rigpulse.operators.rolling import rolling, sampling_step, sliding_features, sliding_medians, time_rolling
 
@@ -241,3 +241,17 @@ def test_frames_grow(spark):
         assert r["v_before"] == next((k[3] for k in reversed(known[r["m"]]) if k[0] <= r["i"]), None)
     for r in ahead.collect():
         assert r["event_dt"] == next((k[2] for k in known[r["m"]] if k[0] % 4 == 0 and k[2] >= r["t"]), None)
+
+
+def test_what_grows_with_the_input_is_not_broadcast(spark):
+    """Tables of chunks, bins and fuel windows are small here, so a planner left to their size would broadcast them."""
+    rows = spark.range(3000).select((F.col("id") % 3).alias("m"), F.timestamp_seconds(F.col("id") * 3600).alias("timestamp"),
+                                    F.when(F.col("id") % 4 != 0, F.col("id").cast("double")).alias("v"))
+    series = Series(("m",))
+    events = rows.where("v % 50 = 1").select("m", F.col("timestamp").alias("event_dt"))
+    bins = resample(rows, ["m"], "timestamp", 7200, [F.max("v").alias("v")])
+    for made in (number_rows(rows, series), with_previous(rows, series, {"v": "u"}), nearest_known(rows, series, {"v": F.col("v")}),
+                 next_event_asof(rows, events, ["m"]), bins, merge_window_features(bins.drop("v"), bins, ["m", "timestamp"])):
+        assert made.count()
+        made.collect()
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
