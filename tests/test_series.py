@@ -15,7 +15,11 @@ from rigpulse.operators.impute import fill_forward_backward, interpolate_linear
 from rigpulse.operators.joins import attach_trips, merge_window_features, next_event_asof
 from rigpulse.operators.resample import resample, resample_means
 from rigpulse.functions.ranks import RangeOrder
-from rigpulse.operators.rolling import rolling, sampling_step, sliding_features, sliding_medians, time_rolling
+from rigpulse.operators import stats
+from rigpulse.operators.rolling import episode_score, rolling, sampling_step, sliding_features, sliding_medians, time_rolling
+from rigpulse.operators.shaping import decimate
+from rigpulse.plans.excavators import clean_readings
+from rigpulse.schemas import EXCAVATOR_SENSORS
 
 T0 = datetime(2024, 1, 1)
 FINE = Series(("m",), "ts", ("i",), chunk_seconds=7, block_rows=4)
@@ -255,3 +259,26 @@ def test_what_grows_with_the_input_is_not_broadcast(spark):
         assert made.count()
         made.collect()
         assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shared_rows_are_worked_out_once(spark):
+    """What reads its rows several times must not work them out several times: a counter sees each row once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    days = spark.range(400).select((F.col("id") % 3).cast("string").alias("excavator_id"), F.lit(60).alias("step"),
+                                   F.timestamp_seconds(F.col("id") * 3600).alias("timestamp"), F.col("id").cast("double").alias("v"))
+    rows = days.withColumn("x", counted("v"))
+    by, machine = ["excavator_id"], Series(("excavator_id",))
+    raw = rows.select("*", *[F.col("x").alias(c) for c in EXCAVATOR_SENSORS])
+    for made in (lambda: stats.standardize(rows, ["x"], by), lambda: stats.min_max_scale(rows, ["x"], by),
+                 lambda: stats.robust_scale(rows, ["x"], by), lambda: episode_score(rows, EpisodeConfig(), score="x"),
+                 lambda: decimate(rows, machine), lambda: clean_readings(raw, ["v"]),
+                 lambda: assign_episode_id(rows.withColumn("on", F.col("x") % 7 > 3), machine, "on")):
+        before = seen.value
+        made().collect()
+        assert seen.value - before == 400
