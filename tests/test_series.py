@@ -14,6 +14,7 @@ from rigpulse.operators.evaluate import ranked_scores
 from rigpulse.operators.impute import fill_forward_backward, interpolate_linear
 from rigpulse.operators.joins import attach_trips, merge_window_features, next_event_asof
 from rigpulse.operators.resample import resample, resample_means
+from rigpulse.functions.frames import trailing_frames
 from rigpulse.functions.ranks import RangeOrder
 from rigpulse.operators import stats
 from rigpulse.operators.rolling import episode_score, rolling, sampling_step, sliding_features, sliding_medians, time_rolling
@@ -282,3 +283,30 @@ def test_shared_rows_are_worked_out_once(spark):
         before = seen.value
         made().collect()
         assert seen.value - before == 400
+
+
+def test_trailing_frames():
+    rng = np.random.default_rng(4)
+    place = np.concatenate([np.arange(n) for n in (1, 90, 2, 40)])
+    x, known = rng.integers(0, 9, (len(place), 2)) / 8.0, rng.random((len(place), 2)) < 0.7
+    x[60:80, 1] = 0.1
+    for width, frame in trailing_frames(x, known, place, [2, 3, 8, 13, 64]).items():
+        for i, at in enumerate(place):
+            rows = slice(i - min(at, width - 1), i + 1)
+            for c in range(2):
+                values = x[rows, c][known[rows, c]]
+                assert frame.n[i, c] == len(values)
+                if len(values) > 1:
+                    assert (frame.low[i, c], frame.high[i, c]) == (values.min(), values.max())
+                    assert (frame.mean[i, c], frame.std[i, c]) == pytest.approx((values.mean(), values.std(ddof=1)), abs=1e-12)
+                    assert frame.std[i, c] == 0 or len(set(values)) > 1
+
+
+def test_windows_take_no_step_for_each_row_they_hold(spark):
+    """A window of 15 minutes holds 900 rows at a step of a second; a sliding frame of Spark goes through all of them for each row."""
+    days = spark.range(50).select(F.lit("a").alias("excavator_id"), F.timestamp_seconds("id").alias("timestamp"), F.lit(1).alias("step"),
+                                  *[F.col("id").cast("double").alias(c) for c in [*EXCAVATOR_SENSORS, "anomaly_score"]])
+    cfg = EpisodeConfig(win_seconds=(240, 900))
+    for made in (sliding_features(days, cfg), episode_score(days, cfg)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "RangeFrame, -" not in plan and "specifiedwindowframe(RangeFrame" not in plan
