@@ -10,61 +10,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rigpulse.functions.columns import or_zero, sure
+from rigpulse.functions.columns import sure
 from rigpulse.functions.quantiles import group_quantiles
-from rigpulse.functions.wide_quantiles import wide_quantile
+from rigpulse.functions.wide_quantiles import cells, numbers, packed, packed_quantile
 from rigpulse.session import materialize
 
 
 def robust_stat_score(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
-                      populations: dict[str, Column] | None = None, floor: float = 1e-9) -> DataFrame:
+                      populations: dict[str, Column] | None = None, floor: float = 1e-9,
+                      keep: Sequence[str] | None = None) -> DataFrame:
     """Mean of the largest robust deviations of each row, a tenth of the features but at least three.
 
     ``populations`` maps a score name to the rows it is about: their medians and MADs are its
-    reference, and other rows get null. All populations share the two quantile passes.
+    reference, and other rows get null. All populations share the two quantile passes. ``keep`` are the columns of ``df``
+    to return, all by default. Rows are packed once, many of a group to a row; every later pass reads these.
     """
     wanted = populations or {"anomaly_score_stat": F.lit(True)}
-    width = len(columns)
+    width, kept = len(columns), list(df.columns if keep is None else keep)
     k = max(3, int(0.1 * width))
-    members = {name: f"_in_{i}" for i, name in enumerate(wanted)}
-    rows = df.select("*", *[sure(c).alias(members[n]) for n, c in wanted.items()],
-                     F.array(*[or_zero(c) for c in columns]).alias("_x"))
-    absent = F.array_repeat(F.lit(None).cast("double"), width)
-
-    def among(values: dict[str, Column]) -> Column:
-        parts = [F.when(F.col(m), values[n]).otherwise(absent) for n, m in members.items()]
-        return F.concat(*parts) if len(parts) > 1 else parts[0]
-
-    def own(stats: str, p: int) -> Column:
-        return F.slice(stats, p * width + 1, width)
-
-    total = width * len(members)
-    medians = wide_quantile(rows, keys, among({n: F.col("_x") for n in members}), total, 0.5, "_med")
-    centred = rows.join(medians, list(keys))
-    away = {n: F.zip_with("_x", own("_med", p), lambda x, m: F.abs(x - m)) for p, n in enumerate(members)}
-    mads = wide_quantile(centred, keys, among(away), total, 0.5, "_mad")
-    packed = centred.join(mads, list(keys)).select(
-        F.struct(*df.columns).alias("_row"), *members.values(), "_x", "_med", "_mad")
-    row = packed.schema["_row"]
-    schema = T.StructType([row, *[T.StructField(n, T.DoubleType()) for n in members]])
+    group = [f"_k{i}" for i in range(len(keys))]
+    members, inputs, held = ([f"_{kind}{i}" for i in range(len(of))] for kind, of in (("in", wanted), ("f", columns), ("c", kept)))
+    named = [F.col(c).alias(n) for n, c in (*zip(group, keys), *zip(held, kept))]
+    rows = df.select(*named, *[sure(c).alias(m) for m, c in zip(members, wanted.values())],
+                     *[F.col(c).cast("double").alias(n) for n, c in zip(inputs, columns)])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch["_x"], width)
-            med, mad = (_matrix(batch[c], total) for c in ("_med", "_mad"))
-            made = [batch["_row"]]
-            for p, member in enumerate(members.values()):
-                part = slice(p * width, (p + 1) * width)
-                ratios = np.abs(x - med[:, part]) / (mad[:, part] + floor)
-                top = np.partition(ratios, width - k, axis=1)[:, width - k:] if k < width else ratios
-                made.append(pa.array(top.mean(axis=1), mask=~batch[member].to_numpy(zero_copy_only=False)))
-            yield pa.RecordBatch.from_arrays(made, names=["_row", *members])
+    def finite(batch: pa.RecordBatch) -> np.ndarray:
+        x = np.stack([batch[c].fill_null(0.0).to_numpy(zero_copy_only=False) for c in inputs], axis=1)
+        return np.where(np.isfinite(x), x, 0.0)
+
+    def among(x: np.ndarray, batch: pa.RecordBatch, i: int) -> list[np.ndarray]:
+        return [np.where(batch[m][i].values.to_numpy(zero_copy_only=False)[:, None], x, np.nan) for m in members]
 
-    return packed.mapInArrow(score, schema).select("_row.*", *members)
+    def own(batch: pa.RecordBatch, i: int) -> np.ndarray:
+        return np.concatenate(among(cells(batch, i, width), batch, i), axis=1)
 
+    def away(batch: pa.RecordBatch, i: int) -> np.ndarray:
+        return np.abs(own(batch, i) - numbers(batch["_med"][i]))
 
-def _matrix(lists: pa.ListArray, width: int) -> np.ndarray:
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    total, scores = width * len(members), list(wanted)
+    chunks = packed(rows, group, finite, width, [*members, *held])
+    medians = packed_quantile(chunks, group, ["_x", *members], own, total, 0.5, "_med")
+    centred = chunks.join(medians, group)
+    mads = packed_quantile(centred, group, ["_x", *members, "_med"], away, total, 0.5, "_mad")
+    schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in kept), *(T.StructField(n, T.DoubleType()) for n in scores)])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                x, med, mad = cells(batch, i, width), numbers(batch["_med"][i]), numbers(batch["_mad"][i])
+                made = [batch[c][i].values for c in held]
+                for p, member in enumerate(members):
+                    part = slice(p * width, (p + 1) * width)
+                    ratios = np.abs(x - med[part]) / (mad[part] + floor)
+                    top = np.partition(ratios, width - k, axis=1)[:, width - k:] if k < width else ratios
+                    made.append(pa.array(top.mean(axis=1), mask=~batch[member][i].values.to_numpy(zero_copy_only=False)))
+                yield pa.RecordBatch.from_arrays(made, names=[*kept, *scores])
+
+    return centred.join(mads, group).mapInArrow(score, schema)
 
 
 def reference_stats(df: DataFrame, keys: Sequence[str], columns: Sequence[str], floor: float = 1e-9) -> DataFrame:
